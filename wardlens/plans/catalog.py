@@ -146,3 +146,161 @@ FROM (SELECT encounter_id, CASE WHEN NOT pre THEN -3 WHEN NOT post THEN -1
     "offs", "eid", "labs_c",
     extra={"scr": f"SELECT * FROM ({_COHORT_LABS(['CREATININE SERUM'])}) WHERE value BETWEEN 0.2 AND 25"}))(
     lambda spark, sf: cohort(spark, sf).postop_aki())
+
+# --- encounter variables (CL-07..27) ---------------------------------------------------------------------------
+
+_ALIGNED = lambda src: (
+    f'SELECT s.*, s.time_s - CAST(o."offset" AS BIGINT) * 86400 AS t, o."offset" FROM ({src}) s '
+    f'LEFT JOIN offs o ON s.encounter_id = o.encounter_id')
+_ROOMS = lambda codes: f"SELECT * FROM proc WHERE order_name IN {_lst(codes)} AND encounter_id IN (SELECT encounter_id FROM eid)"
+
+_DEL = f"""SELECT encounter_id, t AS time_s, name, value, "offset", t / 86400.0 AS days
+FROM ({_ALIGNED(_COHORT_FLOW(['CAM ICU'], False))}) a WHERE t >= 0 AND value NOT IN ('Unable to assess', '')"""
+
+_VAR_SQL = {
+    "v_age": "SELECT DISTINCT encounter_id, age FROM einfo",
+    "v_gender": "SELECT DISTINCT encounter_id, CASE gender WHEN 1 THEN 'Male' WHEN 2 THEN 'Female' ELSE CAST(gender AS VARCHAR) END AS gender FROM einfo",
+    "v_death": "SELECT DISTINCT encounter_id, death_during_encounter AS death FROM einfo",
+    "v_bmi": """SELECT DISTINCT e.encounter_id, m.bmi FROM eid e LEFT JOIN (
+  SELECT encounter_id, CASE WHEN avg(h) = 0 THEN NULL ELSE avg(w) / avg(h) END AS bmi FROM (
+    SELECT DISTINCT encounter_id, h, w FROM (
+      SELECT encounter_id, flowsheet_days_since_birth,
+        avg(CASE WHEN display_name = 'HEIGHT' THEN TRY_CAST(flowsheet_value AS DOUBLE) END) AS h,
+        avg(CASE WHEN display_name = 'WEIGHT' THEN TRY_CAST(flowsheet_value AS DOUBLE) END) AS w
+      FROM flow_c WHERE display_name IN ('HEIGHT', 'WEIGHT') AND encounter_id IN (SELECT encounter_id FROM eid)
+      GROUP BY 1, 2) d) x GROUP BY 1) m ON e.encounter_id = m.encounter_id""",
+    "v_vent": f"""SELECT encounter_id, max(t / 86400.0) AS vent_days FROM ({_ALIGNED(tidy_flow_sql(
+        "(SELECT encounter_id, flowsheet_days_since_birth, flowsheet_time, 'VENT MODE' AS display_name, flowsheet_value FROM flow_c "
+        f"WHERE display_name IN {_lst(CS.VENT_MODE_NAMES)} AND encounter_id IN (SELECT encounter_id FROM eid))", False))}) a GROUP BY 1""",
+    "v_icu": f"""SELECT e.encounter_id, m.icu_los FROM eid e LEFT JOIN (
+  SELECT i.encounter_id, max(i.days_from_dob_procstart - o."offset") AS icu_los
+  FROM ({_ROOMS(CS.ICU_CODES)}) i LEFT JOIN offs o ON i.encounter_id = o.encounter_id GROUP BY 1) m ON e.encounter_id = m.encounter_id""",
+}
+
+
+def _dx_sql(name: str, cond: str, code_type: str | None = None, as_int: bool = False) -> str:
+    ct = f" AND CodeType = '{code_type}'" if code_type else ""
+    v = f"CAST(coalesce(p.{name}, false) AS INT)" if as_int else f"p.{name}"
+    return (f"SELECT DISTINCT e.encounter_id, {v} AS {name} FROM einfo e LEFT JOIN ("
+            f"SELECT person_id, bool_or({cond}) AS {name} FROM dx_c WHERE person_id IN (SELECT person_id FROM pid){ct} "
+            f"GROUP BY 1) p ON e.person_id = p.person_id")
+
+
+_VAR_SQL["v_osa"] = _dx_sql("osa", f"CodeDescription IN {_lst(CS.OSA_DESCRIPTIONS)}", "ICD-10-CM")
+_VAR_SQL["v_chf"] = _dx_sql("chf", "CodeDescription LIKE '%HEART FAILURE%'", "ICD-10-CM")
+_VAR_SQL["v_dm"] = _dx_sql("dm", "CodeDescription LIKE '%DIABETES%'", "ICD-10-CM")
+_VAR_ALL = ("einfo", "eid", "pid", "offs", "flow_c", "proc", "dx_c")
+
+
+def _var(name: str) -> str:
+    return with_ctes(f"SELECT * FROM {name}", *_VAR_ALL, extra=_VAR_SQL)
+
+
+register("bmi", _var("v_bmi"))(lambda spark, sf: cohort(spark, sf).bmi)
+register("vent_days", _var("v_vent"))(lambda spark, sf: cohort(spark, sf).mechanical_ventilation_duration)
+register("icu_los", _var("v_icu"))(lambda spark, sf: cohort(spark, sf).icu_los)
+register("dx_osa", _var("v_osa"))(lambda spark, sf: cohort(spark, sf).osa)
+register("dx_chf", _var("v_chf"))(lambda spark, sf: cohort(spark, sf).chf)
+register("dx_dm", _var("v_dm"))(lambda spark, sf: cohort(spark, sf).dm)
+
+register("dx_cad", with_ctes(_dx_sql("cad", f"Code IN {_lst(CS.CAD_ICD10)}", as_int=True), "einfo", "pid", "dx_c"))(
+    lambda spark, sf: cohort(spark, sf).cad)
+register("dx_stroke", with_ctes(_dx_sql("stroke", f"Code IN {_lst(CS.STROKE_ICD10)}", as_int=True), "einfo", "pid", "dx_c"))(
+    lambda spark, sf: cohort(spark, sf).stroke)
+register("dx_prefix", with_ctes(_dx_sql(
+    "liver_disease", " OR ".join(f"Code LIKE '{p}%'" for p in CS.LIVER_DISEASE_PREFIXES), as_int=True),
+    "einfo", "pid", "dx_c"))(lambda spark, sf: cohort(spark, sf).comorbidity("liver_disease"))
+
+register("delirium_encounter", with_ctes(
+    f"SELECT encounter_id, coalesce(bool_or(value = 'Delirious- CAM+'), false) AS post_op_delirium FROM ({_DEL}) d GROUP BY 1",
+    "offs", "eid", "flow_c"))(lambda spark, sf: cohort(spark, sf).get_post_op_delirium("encounter"))
+
+register("delirium_72hr", with_ctes(
+    "SELECT encounter_id, coalesce(bool_or(value = 'Delirious- CAM+' AND time_s <= 3 * 86400), false) AS post_op_delirium "
+    f"FROM ({_DEL}) d GROUP BY 1", "offs", "eid", "flow_c"))(
+    lambda spark, sf: cohort(spark, sf).get_post_op_delirium("72hr"))
+
+register("delirium_full", with_ctes(
+    f"""SELECT encounter_id, time_s, name, split_part(value, '-', 1) AS value, "offset", days FROM ({_DEL}) d""",
+    "offs", "eid", "flow_c"))(lambda spark, sf: cohort(spark, sf).get_post_op_delirium("full"))
+
+register("los", with_ctes(f"""
+SELECT DISTINCT o.encounter_id, l.last_day - o."offset" AS postop_los FROM offs o LEFT JOIN (
+  SELECT encounter_id, max(days_from_dob_procstart) AS last_day FROM ({_ROOMS(CS.ROOM_CODES)}) r GROUP BY 1) l
+ON o.encounter_id = l.encounter_id""", "offs", "eid", "proc"))(lambda spark, sf: cohort(spark, sf).postop_los())
+
+register("icu_start", with_ctes(f"""
+SELECT i.encounter_id, min(o."offset") AS "offset", min(i.days_from_dob_procstart) AS first_icu_day
+FROM ({_ROOMS(CS.ICU_CODES)}) i LEFT JOIN offs o ON i.encounter_id = o.encounter_id
+WHERE i.days_from_dob_procstart - o."offset" >= 0 GROUP BY 1""", "offs", "eid", "proc"))(
+    lambda spark, sf: cohort(spark, sf).icu_start)
+
+register("icu_days", with_ctes(f"""
+SELECT encounter_id, days_from_dob_procstart, CAST(count(person_id) AS BIGINT) AS icu_rows
+FROM ({_ROOMS(CS.ICU_CODES)}) i GROUP BY 1, 2""", "eid", "proc"))(lambda spark, sf: cohort(spark, sf).post_op_icu_days())
+
+register("or_days", with_ctes(
+    f"SELECT encounter_id, days_from_dob_procstart AS or_day, order_name FROM ({_ROOMS(CS.OR_ROOM_CODES)}) r",
+    "eid", "proc"))(lambda spark, sf: cohort(spark, sf).or_days())
+
+
+def _pivot_count_sql(codes) -> str:
+    cols = []
+    for c in codes:
+        q = c.replace("'", "''")
+        cols.append(f"CASE WHEN count(CASE WHEN order_name = '{q}' THEN 1 END) > 0 "
+                    f"THEN count(CASE WHEN order_name = '{q}' THEN person_id END) END AS \"{c}\"")
+    return ("SELECT encounter_id, days_from_dob_procstart, " + ", ".join(cols)
+            + f" FROM ({_ROOMS(codes)}) r GROUP BY 1, 2")
+
+
+register("pivot_count_rooms", with_ctes(_pivot_count_sql(CS.ROOM_CODES), "eid", "proc"))(
+    lambda spark, sf: cohort(spark, sf).room_changes)
+
+register("reexplore", with_ctes(f"""
+SELECT DISTINCT r.encounter_id, coalesce(x.flag, false) AS reexploration_for_bleed
+FROM ({_ROOMS(CS.ROOM_CODES)}) r LEFT JOIN (
+  SELECT DISTINCT encounter_id, true AS flag FROM proc WHERE order_name IN {_lst(CS.REEXPLORATION_PROCEDURES)}
+    AND encounter_id IN (SELECT encounter_id FROM ({_ROOMS(CS.ROOM_CODES)}) q GROUP BY 1
+      HAVING count(CASE WHEN order_name LIKE '%OPERATING ROOM%' THEN person_id END) > 1)) x
+ON r.encounter_id = x.encounter_id""", "eid", "proc"))(lambda spark, sf: cohort(spark, sf).reexploration_for_bleed)
+
+register("ckd", with_ctes(f"""
+SELECT encounter_id, coalesce(bool_or(value < 60), false) AS ckd FROM ({_ALIGNED(tidy_labs_sql(
+    "(SELECT * FROM labs_c WHERE lab_component_name IN (SELECT DISTINCT upper(lab_component_name) FROM labs_v "
+    "WHERE upper(lab_component_name) LIKE '%GFR%') AND encounter_id IN (SELECT encounter_id FROM eid))"))}) a
+WHERE t > -3 * 86400 AND t < 86400 GROUP BY 1""", "offs", "eid", "labs_c"))(lambda spark, sf: cohort(spark, sf).ckd)
+
+register("troponin_peak", with_ctes("""
+SELECT o.encounter_id, o."offset", p.day, p.value FROM offs o LEFT JOIN (
+  SELECT a.encounter_id, a."offset", a.t / 86400.0 AS day, a.value FROM trp a JOIN (
+    SELECT encounter_id, "offset", max(value) AS mx FROM trp GROUP BY 1, 2) m
+  ON a.encounter_id = m.encounter_id AND a."offset" = m."offset" AND a.value = m.mx) p
+ON o.encounter_id = p.encounter_id AND o."offset" = p."offset\"""", "offs", "eid", "labs_c",
+    extra={"trp": f"SELECT * FROM ({_ALIGNED(_COHORT_LABS(['TROPONIN I']))}) a WHERE t > 0 AND t < 3 * 86400"}))(
+    lambda spark, sf: cohort(spark, sf).postop_troponin())
+
+register("blood_products", with_ctes("""
+SELECT DISTINCT encounter_id, TRY_CAST(split_part(number_of_units, ' ', 1) AS INT) AS units_rbc FROM tr_c
+WHERE transfusion_name IN (SELECT DISTINCT upper(transfusion_name) FROM transfusion_v WHERE upper(transfusion_name) LIKE '%TRANSFUSE RBC:%')
+  AND encounter_id IN (SELECT encounter_id FROM eid)""", "eid", "tr_c"))(lambda spark, sf: cohort(spark, sf).blood_products("RBC"))
+
+register("blood_products_total", with_ctes("""
+SELECT encounter_id, sum(TRY_CAST(split_part(number_of_units, ' ', 1) AS INT)) AS units_plasma FROM tr_c
+WHERE transfusion_name IN (SELECT DISTINCT upper(transfusion_name) FROM transfusion_v WHERE upper(transfusion_name) LIKE '%TRANSFUSE PLASMA:%')
+  AND encounter_id IN (SELECT encounter_id FROM eid) GROUP BY 1""", "eid", "tr_c"))(
+    lambda spark, sf: cohort(spark, sf).blood_products("PLASMA", total=True))
+
+_AT_EXTRA = dict(_VAR_SQL)
+_AT_EXTRA["root"] = f"""SELECT encounter_id, CASE WHEN coalesce(bool_or(value = 'Delirious- CAM+'), false) THEN 'Delirium'
+  ELSE 'No Delirium' END AS post_op_delirium FROM ({_DEL}) d GROUP BY 1"""
+register("analysis_table", with_ctes(f"""
+SELECT DISTINCT r.encounter_id, r.post_op_delirium, p.surgery, a.age, g.gender, b.bmi, d.dm, c.chf, s.osa, m.death, v.vent_days, i.icu_los
+FROM root r JOIN (SELECT encounter_id, CASE WHEN order_name IN {_lst(CS.CABG_NAMES)} THEN 'CABG' ELSE order_name END AS surgery FROM pinfo) p
+  ON r.encounter_id = p.encounter_id
+LEFT JOIN v_age a ON r.encounter_id = a.encounter_id LEFT JOIN v_gender g ON r.encounter_id = g.encounter_id
+LEFT JOIN v_bmi b ON r.encounter_id = b.encounter_id LEFT JOIN v_dm d ON r.encounter_id = d.encounter_id
+LEFT JOIN v_chf c ON r.encounter_id = c.encounter_id LEFT JOIN v_osa s ON r.encounter_id = s.encounter_id
+LEFT JOIN v_death m ON r.encounter_id = m.encounter_id LEFT JOIN v_vent v ON r.encounter_id = v.encounter_id
+LEFT JOIN v_icu i ON r.encounter_id = i.encounter_id""", *_VAR_ALL, extra=_AT_EXTRA))(
+    lambda spark, sf: cohort(spark, sf).table1())
