@@ -136,7 +136,7 @@ def trapezoid(df: DataFrame, x: str = "hours", y: str = "value", keys=("encounte
     keys = list(keys)
     d = _seg(df.select(*keys, x, y), x, seg_width)
     part = [*keys, "_seg"]
-    w = W.partitionBy(*part).orderBy(x)
+    w = W.partitionBy(*part).orderBy(x, y)  # ties in x are ordered by y, so pairs are deterministic
     d = d.withColumn("_rn", F.row_number().over(w)).withColumn("_px", F.lag(x).over(w)).withColumn("_py", F.lag(y).over(w))
     last = d.groupBy(*part).agg(F.max_by(F.struct(x, y), F.col("_rn")).alias("_l"))
     sf = W.partitionBy(*keys).orderBy("_seg").rowsBetween(W.unboundedPreceding, -1)
@@ -149,8 +149,8 @@ def trapezoid(df: DataFrame, x: str = "hours", y: str = "value", keys=("encounte
 
 
 def first_value(df: DataFrame, value: str = "value", t: str = "time_s", keys=("encounter_id",), out: str = "first_value") -> DataFrame:
-    """AGG-18: value at the earliest time per group."""
-    return df.groupBy(*keys).agg(F.min_by(value, t).alias(out))
+    """AGG-18: value at the earliest time per group (the smallest one on a tie)."""
+    return df.groupBy(*keys).agg(F.min_by(value, F.struct(t, value)).alias(out))
 
 
 def peak_rows(df: DataFrame, value: str = "value", keys=("encounter_id",)) -> DataFrame:

@@ -304,3 +304,262 @@ LEFT JOIN v_chf c ON r.encounter_id = c.encounter_id LEFT JOIN v_osa s ON r.enco
 LEFT JOIN v_death m ON r.encounter_id = m.encounter_id LEFT JOIN v_vent v ON r.encounter_id = v.encounter_id
 LEFT JOIN v_icu i ON r.encounter_id = i.encounter_id""", *_VAR_ALL, extra=_AT_EXTRA))(
     lambda spark, sf: cohort(spark, sf).table1())
+
+# --- pivots, melts, binning (AGG-03..06, PRJ-15, WIN-04..08) ------------------------------------------------------
+
+from wardlens.operators import summary as SM  # noqa: E402
+from wardlens.operators import timeseries as TS  # noqa: E402
+
+PIVOT_NAMES = ["CCO", "CCI", "CVP (MMHG)", "PULSE"]
+GAS_LABS = ["O2SAT ARTERIAL MEASURED", "PO2 ARTERIAL", "O2SAT VENOUS MEASURED", "PO2 VENOUS"]
+
+
+def _pivot_sql(src: str, names, t: str = "time_s", fn: str = "avg", rnd: bool = True) -> str:
+    cols = []
+    for n in names:
+        e = f"{fn}(CASE WHEN name = '{n}' THEN value END)"
+        cols.append(f"{'round(' + e + ', 6)' if rnd else e} AS \"{n}\"")
+    return f"SELECT encounter_id, {t}, {', '.join(cols)} FROM ({src}) s GROUP BY 1, 2"
+
+
+def _pivot_mean(spark, sf):
+    co = cohort(spark, sf)
+    p = TD.pivot_tidy(co.flowsheet(PIVOT_NAMES), PIVOT_NAMES)
+    return p.select("encounter_id", "time_s", *[r6(F.col(f"`{n}`")).alias(n) for n in PIVOT_NAMES])
+
+
+register("pivot_mean", with_ctes(_pivot_sql(_COHORT_FLOW(PIVOT_NAMES), PIVOT_NAMES), "eid", "flow_c"))(_pivot_mean)
+
+
+def _pivot_max(spark, sf):
+    co = cohort(spark, sf)
+    a = co.align_metric(co.flowsheet(["CCO", "CCI"])).withColumn("day", F.bround(F.col("time_s") / 86400.0, 0) + 0.0)
+    return TD.pivot_tidy(a, ["CCO", "CCI"], t="day", agg="max")
+
+
+register("pivot_max", with_ctes(_pivot_sql(
+    f"SELECT encounter_id, round_even(t / 86400.0, 0) + 0.0 AS day, name, value FROM ({_ALIGNED(_COHORT_FLOW(['CCO', 'CCI']))}) a",
+    ["CCO", "CCI"], t="day", fn="max", rnd=False), "offs", "eid", "flow_c"))(_pivot_max)
+
+
+def _melt(spark, sf):
+    return TD.melt_tidy(_pivot_mean(spark, sf), t="time_s")
+
+
+register("melt_wide", with_ctes(" UNION ALL ".join(
+    f"SELECT encounter_id, time_s, '{n}' AS name, CAST(\"{n}\" AS DOUBLE) AS value FROM pm" for n in PIVOT_NAMES),
+    "eid", "flow_c", extra={"pm": _pivot_sql(_COHORT_FLOW(PIVOT_NAMES), PIVOT_NAMES)}))(_melt)
+
+
+def _rebin(spark, sf):
+    co = cohort(spark, sf)
+    return TD.rebin_time(co.align_metric(co.labs(["HEMOGLOBIN"])), "q8h")
+
+
+register("rebin_q8h", with_ctes(
+    f"""SELECT encounter_id, t AS time_s, name, value, "offset", CAST(floor(t / 28800.0) * 8 AS BIGINT) AS btime
+FROM ({_ALIGNED(_COHORT_LABS(['HEMOGLOBIN']))}) a""", "offs", "eid", "labs_c"))(_rebin)
+
+
+def _rebase(spark, sf):
+    co = cohort(spark, sf)
+    h = TD.round_hours(co.labs(GAS_LABS), scale=0).withColumn("hour", F.col("hour").cast("bigint"))
+    return TS.rebase(h, "hour", out="rhour")
+
+
+_REBASE_SQL = f"""SELECT g.*, g.hour - m.mh AS rhour FROM (
+  SELECT encounter_id, time_s, name, value, CAST(round_even(time_s / 3600.0, 0) AS BIGINT) AS hour FROM ({_COHORT_LABS(GAS_LABS)}) x) g
+JOIN (SELECT encounter_id, min(CAST(round_even(time_s / 3600.0, 0) AS BIGINT)) AS mh FROM ({_COHORT_LABS(GAS_LABS)}) y GROUP BY 1) m
+ON g.encounter_id = m.encounter_id"""
+
+register("rebase_hours", with_ctes(_REBASE_SQL, "eid", "labs_c"))(_rebase)
+
+register("cut_hours", with_ctes(
+    "SELECT *, CASE WHEN rhour > -1 THEN CAST(ceil((rhour + 1) / 8.0) * 8 AS DOUBLE) END AS bin FROM rb",
+    "eid", "labs_c", extra={"rb": _REBASE_SQL}))(
+    lambda spark, sf: TD.cut_right_closed(_rebase(spark, sf), "rhour", 8.0, -1.0).withColumn("bin", F.col("bin").cast("double")))
+
+
+def _half_days(spark, sf):
+    d = _rebase(spark, sf).withColumn("rday", F.col("rhour") / 24.0)
+    return TD.cut_half_days(d, "rday")
+
+
+register("cut_half_days", with_ctes("""
+SELECT rb2.*, CASE WHEN rday > -0.5 AND rday <= ceil((mx + 0.5) / 0.5) * 0.5 - 1.0 THEN CAST(ceil((rday + 0.5) / 0.5) - 1 AS BIGINT) END AS bin
+FROM (SELECT *, rhour / 24.0 AS rday FROM rb) rb2, (SELECT max(rhour / 24.0) AS mx FROM rb) m""",
+    "eid", "labs_c", extra={"rb": _REBASE_SQL}))(_half_days)
+
+register("round_hours", with_ctes(
+    f"SELECT encounter_id, time_s, name, value, round_even(time_s / 3600.0, 1) AS hour FROM ({_COHORT_FLOW(['CCO'])}) f",
+    "eid", "flow_c"))(lambda spark, sf: TD.round_hours(cohort(spark, sf).flowsheet(["CCO"]), scale=1))
+
+# --- interpolation and as-of join (WIN-01/02, JOIN-08) ------------------------------------------------------------
+
+
+def _interp_sql(forward: bool) -> str:
+    cols = []
+    for c in ("CCO", "CCI"):
+        w = "PARTITION BY encounter_id ORDER BY time_s ROWS BETWEEN {} "
+        pv = f"last_value({c} IGNORE NULLS) OVER ({w.format('UNBOUNDED PRECEDING AND CURRENT ROW')})"
+        pi = f"last_value(CASE WHEN {c} IS NOT NULL THEN idx END IGNORE NULLS) OVER ({w.format('UNBOUNDED PRECEDING AND CURRENT ROW')})"
+        nv = f"first_value({c} IGNORE NULLS) OVER ({w.format('CURRENT ROW AND UNBOUNDED FOLLOWING')})"
+        ni = f"first_value(CASE WHEN {c} IS NOT NULL THEN idx END IGNORE NULLS) OVER ({w.format('CURRENT ROW AND UNBOUNDED FOLLOWING')})"
+        cols.append(f"{pv} AS {c}_pv, {pi} AS {c}_pi, {nv} AS {c}_nv, {ni} AS {c}_ni")
+    body = []
+    for c in ("CCO", "CCI"):
+        e = (f"CASE WHEN {c} IS NOT NULL THEN {c} WHEN {c}_pi IS NOT NULL AND {c}_ni IS NOT NULL THEN "
+             f"CASE WHEN {c}_ni = {c}_pi THEN {c}_pv ELSE {c}_pv + ({c}_nv - {c}_pv) * (idx - {c}_pi) / ({c}_ni - {c}_pi) END END")
+        if forward:
+            e = f"coalesce({e}, {c}_pv)"
+        body.append(f"round({e}, 6) AS {c}")
+    return f"""SELECT encounter_id, time_s, {', '.join(body)} FROM (
+  SELECT *, {', '.join(cols)} FROM (
+    SELECT *, row_number() OVER (PARTITION BY encounter_id ORDER BY time_s) - 1 AS idx FROM pv) a) b"""
+
+
+def _interp(forward: bool):
+    def q(spark, sf):
+        co = cohort(spark, sf)
+        p = TD.pivot_tidy(co.flowsheet(["CCO", "CCI"]), ["CCO", "CCI"])
+        out = TS.interpolate(p, ["CCO", "CCI"], forward=forward)
+        return out.select("encounter_id", "time_s", r6("CCO").alias("CCO"), r6("CCI").alias("CCI"))
+    return q
+
+
+_PV = _pivot_sql(_COHORT_FLOW(["CCO", "CCI"]), ["CCO", "CCI"], rnd=False)
+register("interp_inside", with_ctes(_interp_sql(False), "eid", "flow_c", extra={"pv": _PV}))(_interp(False))
+register("interp_forward", with_ctes(_interp_sql(True), "eid", "flow_c", extra={"pv": _PV}))(_interp(True))
+
+
+def asof_sql(targets: str, reference: str, out: str = "interp", cols: str = "encounter_id, time_s, name, value") -> str:
+    """Oracle for JOIN-08 over a union and RANGE frames."""
+    return f"""SELECT {cols}, CASE WHEN n IS NULL OR n = 0 THEN NULL WHEN n = 1 OR pt IS NULL THEN lo WHEN nt IS NULL THEN hi
+  WHEN nt = pt THEN py ELSE py + (ny - py) * (time_s - pt) / (nt - pt) END AS {out}
+FROM (
+  SELECT u.*,
+    last_value(y IGNORE NULLS) OVER (PARTITION BY u.encounter_id ORDER BY u.time_s RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS py,
+    last_value(CASE WHEN y IS NOT NULL THEN u.time_s END IGNORE NULLS) OVER (PARTITION BY u.encounter_id ORDER BY u.time_s RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pt,
+    first_value(y IGNORE NULLS) OVER (PARTITION BY u.encounter_id ORDER BY u.time_s RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ny,
+    first_value(CASE WHEN y IS NOT NULL THEN u.time_s END IGNORE NULLS) OVER (PARTITION BY u.encounter_id ORDER BY u.time_s RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nt
+  FROM (SELECT {cols}, true AS tgt, CAST(NULL AS DOUBLE) AS y FROM ({targets}) t0
+        UNION ALL SELECT encounter_id, time_s, {', '.join('NULL' for _ in cols.split(',')[2:])}, false, y FROM (
+          SELECT encounter_id, time_s, avg(value) AS y FROM ({reference}) r0 GROUP BY 1, 2) r1) u) w
+LEFT JOIN (SELECT encounter_id AS e2, min(y) AS lo, max(y) AS hi, count(y) AS n FROM (
+  SELECT encounter_id, time_s, avg(value) AS y FROM ({reference}) r2 GROUP BY 1, 2) r3 GROUP BY 1) s ON w.encounter_id = s.e2
+WHERE tgt"""
+
+
+def _asof(spark, sf):
+    co = cohort(spark, sf)
+    out = TS.asof_interpolate(co.labs(["O2SAT ARTERIAL MEASURED"]), co.labs(["HEMOGLOBIN"]))
+    return out.withColumn("interp", r6("interp"))
+
+
+register("interp_asof", with_ctes(
+    f"SELECT encounter_id, time_s, name, value, round(interp, 6) AS interp FROM ({asof_sql(_COHORT_LABS(['O2SAT ARTERIAL MEASURED']), _COHORT_LABS(['HEMOGLOBIN']))}) z",
+    "eid", "labs_c"))(_asof)
+
+# --- dose curves, first values, peaks (AGG-13, AGG-17..19) ---------------------------------------------------------
+
+MEDS = ["PROPOFOL INFUSION", "FENTANYL INJECTION", "MIDAZOLAM INJECTION"]
+_COHORT_MEDS = tidy_meds_sql(
+    f"(SELECT * FROM meds_c WHERE medication_name IN {_lst(MEDS)} AND encounter_id IN (SELECT encounter_id FROM eid))")
+
+
+def _aligned_meds(spark, sf):
+    co = cohort(spark, sf)
+    return co.align_metric(co.meds(MEDS))
+
+
+def _dose_auc(spark, sf):
+    a = _aligned_meds(spark, sf).withColumn("hours", F.col("time_s") / 3600.0).where(F.col("hours").between(12, 36))
+    return TS.trapezoid(a, "hours", "value", ("encounter_id", "offset", "name")).withColumn("auc", r6("auc"))
+
+
+register("dose_auc", with_ctes("""
+SELECT encounter_id, "offset", name, round(coalesce(sum((hours - ph) * (value + pv) / 2.0), 0.0), 6) AS auc FROM (
+  SELECT *, lag(hours) OVER w AS ph, lag(value) OVER w AS pv FROM (
+    SELECT encounter_id, "offset", name, value, t / 3600.0 AS hours FROM am WHERE t / 3600.0 BETWEEN 12 AND 36) x
+  WINDOW w AS (PARTITION BY encounter_id, "offset", name ORDER BY hours, value)) y GROUP BY 1, 2, 3""",
+    "offs", "eid", "meds_c", extra={"am": _ALIGNED(_COHORT_MEDS)}))(_dose_auc)
+
+register("dose_total", with_ctes(
+    "SELECT encounter_id, name, round(sum(value), 6) AS total_dose FROM am WHERE t BETWEEN 0 AND 86400 GROUP BY 1, 2",
+    "offs", "eid", "meds_c", extra={"am": _ALIGNED(_COHORT_MEDS)}))(
+    lambda spark, sf: _aligned_meds(spark, sf).where(F.col("time_s").between(0, 86400))
+    .groupBy("encounter_id", "name").agg(r6(F.sum("value")).alias("total_dose")))
+
+register("first_value", with_ctes("""
+SELECT m.encounter_id, m.name, min(m.value) AS first_value FROM cm m JOIN (
+  SELECT encounter_id, name, min(time_s) AS mt FROM cm GROUP BY 1, 2) f
+ON m.encounter_id = f.encounter_id AND m.name = f.name AND m.time_s = f.mt GROUP BY 1, 2""",
+    "eid", "meds_c", extra={"cm": _COHORT_MEDS}))(
+    lambda spark, sf: TS.first_value(cohort(spark, sf).meds(MEDS), keys=("encounter_id", "name")))
+
+register("peak_ties", with_ctes("""
+SELECT t.* FROM tr t JOIN (SELECT encounter_id, max(value) AS mx FROM tr GROUP BY 1) m
+ON t.encounter_id = m.encounter_id AND t.value = m.mx""", "eid", "labs_c", extra={"tr": _COHORT_LABS(["TROPONIN I"])}))(
+    lambda spark, sf: TS.peak_rows(cohort(spark, sf).labs(["TROPONIN I"])))
+
+# --- summaries (AGG-11/12/14/16/20, SRT-03, SMP-01) ---------------------------------------------------------------
+
+register("signal_counts", with_ctes(
+    f"SELECT encounter_id, name, count(*) AS n FROM ({_COHORT_FLOW(PIVOT_NAMES + ['HEIGHT', 'WEIGHT'])}) f GROUP BY 1, 2",
+    "eid", "flow_c"))(lambda spark, sf: SM.value_counts(cohort(spark, sf).flowsheet(PIVOT_NAMES + ["HEIGHT", "WEIGHT"]),
+                                                     ["encounter_id", "name"]))
+
+
+def _bin_nunique(spark, sf):
+    r = _rebin_q12(spark, sf)
+    return r.groupBy("btime", "name").agg(F.countDistinct("encounter_id").alias("n_encounters"))
+
+
+def _rebin_q12(spark, sf):
+    co = cohort(spark, sf)
+    return TD.rebin_time(co.align_metric(co.labs(GAS_LABS)), "q12h")
+
+
+register("bin_nunique", with_ctes(
+    f"SELECT CAST(floor(t / 43200.0) * 12 AS BIGINT) AS btime, name, count(DISTINCT encounter_id) AS n_encounters "
+    f"FROM ({_ALIGNED(_COHORT_LABS(GAS_LABS))}) a GROUP BY 1, 2", "offs", "eid", "labs_c"))(_bin_nunique)
+
+register("histogram", with_ctes(f"""
+SELECT CAST(CASE WHEN value < 5 THEN 0 WHEN value >= 15 THEN 11 ELSE floor((value - 5) * 10 / (15 - 5)) + 1 END AS BIGINT) AS bucket,
+  count(*) AS n FROM ({_COHORT_LABS(['HEMOGLOBIN'])}) h GROUP BY 1""", "eid", "labs_c"))(
+    lambda spark, sf: SM.histogram(cohort(spark, sf).labs(["HEMOGLOBIN"]), "value", 5.0, 15.0, 10))
+
+register("top_counts", with_ctes("""
+SELECT lab_component_name, loinc_code, count(*) AS n FROM labs_c GROUP BY 1, 2
+ORDER BY n DESC, lab_component_name, loinc_code LIMIT 50""", "labs_c"))(
+    lambda spark, sf: SM.top_counts(ds(spark, sf).labs.sel(), ["lab_component_name", "loinc_code"], 50))
+
+register("sample_encounters")(
+    lambda spark, sf: SM.sample_ids(cohort(spark, sf).labs(["CREATININE SERUM"]), 20, seed=42))
+
+
+def _table_one(spark, sf):
+    co = cohort(spark, sf)
+    t1 = SM.spine_join([co.age, co.gender, co.bmi, co.mortality, co.icu_los])
+    t = SM.table_one(t1, ["age", "bmi", "icu_los"], ["gender", "death"])
+    return t.select("group", "variable", "level", "n", "missing", r6("mean").alias("mean"), r6("sd").alias("sd"),
+                    r6("pct").alias("pct"))
+
+
+register("table_one", with_ctes("""
+SELECT 'overall' AS "group", variable, CAST(NULL AS VARCHAR) AS level, count(v) AS n, count(*) - count(v) AS missing,
+  round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS sd, CAST(NULL AS DOUBLE) AS pct FROM (
+  SELECT 'age' AS variable, CAST(age AS DOUBLE) AS v FROM t1 UNION ALL SELECT 'bmi', bmi FROM t1
+  UNION ALL SELECT 'icu_los', CAST(icu_los AS DOUBLE) FROM t1) n GROUP BY 2
+UNION ALL
+SELECT 'overall', c.variable, c.level, c.n, t.missing, NULL, NULL, round(c.n * 100.0 / t.tot, 6) FROM (
+  SELECT variable, level, count(*) AS n FROM cat WHERE level IS NOT NULL GROUP BY 1, 2) c
+JOIN (SELECT variable, count(level) AS tot, count(*) - count(level) AS missing FROM cat GROUP BY 1) t ON c.variable = t.variable""",
+    *_VAR_ALL, extra={**_VAR_SQL, "t1": """SELECT s.encounter_id, a.age, g.gender, b.bmi, d.death, i.icu_los FROM (
+  SELECT encounter_id FROM v_age UNION SELECT encounter_id FROM v_gender UNION SELECT encounter_id FROM v_bmi
+  UNION SELECT encounter_id FROM v_death UNION SELECT encounter_id FROM v_icu) s
+LEFT JOIN v_age a ON s.encounter_id = a.encounter_id LEFT JOIN v_gender g ON s.encounter_id = g.encounter_id
+LEFT JOIN v_bmi b ON s.encounter_id = b.encounter_id LEFT JOIN v_death d ON s.encounter_id = d.encounter_id
+LEFT JOIN v_icu i ON s.encounter_id = i.encounter_id""",
+    "cat": "SELECT 'gender' AS variable, gender AS level FROM t1 UNION ALL SELECT 'death', CAST(death AS VARCHAR) FROM t1"}))(
+    _table_one)
