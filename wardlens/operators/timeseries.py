@@ -9,6 +9,8 @@ partial aggregation) joined back, never windows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -21,43 +23,55 @@ def _seg(df: DataFrame, t: str, seg_width: float) -> DataFrame:
     return df.withColumn("_seg", F.floor(F.col(t) / F.lit(float(seg_width))).cast("bigint"))
 
 
-def _row_index(d: DataFrame, keys: list[str], t: str) -> DataFrame:
-    """0-based position of each row within its key in ``t`` order (needs ``_seg``)."""
-    part = [*keys, "_seg"]
-    d = d.withColumn("_rn", F.row_number().over(W.partitionBy(*part).orderBy(t)))
-    cnt = d.groupBy(*part).agg(F.count(F.lit(1)).alias("_n"))
-    w = W.partitionBy(*keys).orderBy("_seg").rowsBetween(W.unboundedPreceding, -1)
-    off = cnt.select(*part, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    return d.join(off, part, "inner").withColumn("_idx", F.col("_off") + F.col("_rn") - 1).drop("_rn", "_off")
-
+def _scan(d: DataFrame, keys: list[str], t: str, cols: list[str], positional: bool) -> DataFrame:
+    """One pass over (key, segment) pieces plus one small summary join.
 
-def _neighbors(d: DataFrame, keys: list[str], t: str, pos: str, cols: list[str]) -> DataFrame:
-    """For each column ``c`` add ``c__pv``/``c__pp`` (last non-null value and its ``pos`` at or
-    before the row's ``t``) and ``c__nv``/``c__np`` (first non-null at or after). Needs ``_seg``.
+    For each column ``c`` adds ``c__pv``/``c__pp`` (last non-null value at or before the
+    row and its position) and ``c__nv``/``c__np`` (first non-null at or after). Positions
+    are ``t`` or, when ``positional``, the 1-based row number within the key (``_pos``).
+    Needs ``_seg``.
     """
     part = [*keys, "_seg"]
-    wf = W.partitionBy(*part).orderBy(F.col(t).asc()).rangeBetween(W.unboundedPreceding, W.currentRow)
-    wb = W.partitionBy(*part).orderBy(F.col(t).desc()).rangeBetween(W.unboundedPreceding, W.currentRow)
-    aggs, carry = [], []
-    sf = W.partitionBy(*keys).orderBy(F.col("_seg").asc()).rowsBetween(W.unboundedPreceding, -1)
-    sb = W.partitionBy(*keys).orderBy(F.col("_seg").desc()).rowsBetween(W.unboundedPreceding, -1)
+    if positional:
+        d = d.withColumn("_rn", F.row_number().over(W.partitionBy(*part).orderBy(t)))
+        pos = F.col("_rn")
+        frame = lambda w: w.rowsBetween(W.unboundedPreceding, W.currentRow)
+        wf = frame(W.partitionBy(*part).orderBy(F.col(t).asc()))
+        wb = frame(W.partitionBy(*part).orderBy(F.col(t).desc()))
+    else:
+        pos = F.col(t)
+        wf = W.partitionBy(*part).orderBy(F.col(t).asc()).rangeBetween(W.unboundedPreceding, W.currentRow)
+        wb = W.partitionBy(*part).orderBy(F.col(t).desc()).rangeBetween(W.unboundedPreceding, W.currentRow)
+    aggs = [F.count(F.lit(1)).alias("_n")] if positional else []
     for c in cols:
-        p = F.when(F.col(c).isNotNull(), F.col(pos))
+        p = F.when(F.col(c).isNotNull(), pos)
         d = (d.withColumn(f"{c}__pv", F.last(c, True).over(wf)).withColumn(f"{c}__pp", F.last(p, True).over(wf))
               .withColumn(f"{c}__nv", F.last(c, True).over(wb)).withColumn(f"{c}__np", F.last(p, True).over(wb)))
         aggs += [F.max_by(c, p).alias(f"{c}__lv"), F.max(p).alias(f"{c}__lp"),
                  F.min_by(c, p).alias(f"{c}__fv"), F.min(p).alias(f"{c}__fp")]
+    summary = d.groupBy(*part).agg(*aggs)
+    sf = W.partitionBy(*keys).orderBy(F.col("_seg").asc()).rowsBetween(W.unboundedPreceding, -1)
+    sb = W.partitionBy(*keys).orderBy(F.col("_seg").desc()).rowsBetween(W.unboundedPreceding, -1)
+    if positional:  # rows before this piece, so local positions become positions in the key
+        summary = summary.withColumn("_off", F.coalesce(F.sum("_n").over(sf), F.lit(0)))
+        for c in cols:
+            summary = (summary.withColumn(f"{c}__lp", F.col(f"{c}__lp") + F.col("_off"))
+                              .withColumn(f"{c}__fp", F.col(f"{c}__fp") + F.col("_off")))
+    carry = [*part] + (["_off"] if positional else [])
+    for c in cols:
         carry += [F.last(f"{c}__lv", True).over(sf).alias(f"{c}__cpv"), F.last(f"{c}__lp", True).over(sf).alias(f"{c}__cpp"),
                   F.last(f"{c}__fv", True).over(sb).alias(f"{c}__cnv"), F.last(f"{c}__fp", True).over(sb).alias(f"{c}__cnp")]
-    summary = d.groupBy(*part).agg(*aggs).select(*part, *carry)
-    d = d.join(summary, part, "left")
+    d = d.join(summary.select(*carry), part, "left")
+    shift = F.col("_off") if positional else F.lit(0)
     for c in cols:
         has_p, has_n = F.col(f"{c}__pp").isNotNull(), F.col(f"{c}__np").isNotNull()
         d = (d.withColumn(f"{c}__pv", F.when(has_p, F.col(f"{c}__pv")).otherwise(F.col(f"{c}__cpv")))
-              .withColumn(f"{c}__pp", F.when(has_p, F.col(f"{c}__pp")).otherwise(F.col(f"{c}__cpp")))
+              .withColumn(f"{c}__pp", F.when(has_p, F.col(f"{c}__pp") + shift).otherwise(F.col(f"{c}__cpp")))
               .withColumn(f"{c}__nv", F.when(has_n, F.col(f"{c}__nv")).otherwise(F.col(f"{c}__cnv")))
-              .withColumn(f"{c}__np", F.when(has_n, F.col(f"{c}__np")).otherwise(F.col(f"{c}__cnp")))
+              .withColumn(f"{c}__np", F.when(has_n, F.col(f"{c}__np") + shift).otherwise(F.col(f"{c}__cnp")))
               .drop(f"{c}__cpv", f"{c}__cpp", f"{c}__cnv", f"{c}__cnp"))
+    if positional:
+        d = d.withColumn("_pos", F.col("_rn") + F.col("_off")).drop("_rn", "_off")
     return d
 
 
@@ -67,51 +81,65 @@ def _blend(c: str, x) -> F.Column:
     return F.when(F.col(c).isNotNull(), F.col(c)).when(pp.isNotNull() & np_.isNotNull(), lin)
 
 
-def interpolate(df: DataFrame, cols, t: str = "time_s", key: str = "encounter_id", forward: bool = False,
+def interpolate(df: DataFrame, cols, t: str = "time_s", key: str = "encounter_id", forward=False,
                 by: str = "position", seg_width: float = SEGMENT_S) -> DataFrame:
     """WIN-01/02: linear fill of interior gaps per encounter, in row order (``by='position'``,
-    pandas' default) or by time (``by='time'``). ``forward`` also carries the last value to
-    the tail; leading gaps stay null. Never crosses encounters.
+    pandas' default) or by time (``by='time'``). ``forward`` (True, or the columns it applies
+    to) also carries the last value to the tail; leading gaps stay null. Never crosses
+    encounters. All columns are filled in one pass.
     """
     cols = [cols] if isinstance(cols, str) else list(cols)
-    d = _seg(df, t, seg_width)
-    if by == "position":
-        d = _row_index(d, [key], t)
-        pos = "_idx"
-    else:
-        pos = t
-    d = _neighbors(d, [key], t, pos, cols)
+    fwd = set(cols) if forward is True else set(forward or ())
+    positional = by == "position"
+    d = _scan(_seg(df, t, seg_width), [key], t, cols, positional)
+    pos = F.col("_pos") if positional else F.col(t)
     for c in cols:
-        v = _blend(c, F.col(pos))
-        if forward:
+        v = _blend(c, pos)
+        if c in fwd:
             v = F.coalesce(v, F.col(f"{c}__pv"))
         d = d.withColumn(c, v)
-    drop = [f"{c}__{s}" for c in cols for s in ("pv", "pp", "nv", "np")] + ["_seg", "_idx"]
+    drop = [f"{c}__{s}" for c in cols for s in ("pv", "pp", "nv", "np")] + ["_seg", "_pos"]
     return d.drop(*[c for c in drop if c in d.columns])
 
 
-def asof_interpolate(targets: DataFrame, reference: DataFrame, t: str = "time_s", key: str = "encounter_id",
+def asof_interpolate(targets: DataFrame, reference, t: str = "time_s", key: str = "encounter_id",
                      value: str = "value", out: str = "interp", seg_width: float = SEGMENT_S) -> DataFrame:
-    """JOIN-08: evaluate the irregular series ``reference`` at each target row's time.
+    """JOIN-08: evaluate irregular series at each target row's time.
 
-    Linear in time between the neighbouring reference points; before the first point the
-    series' minimum, after the last its maximum; a single point is a constant; no point
-    gives null. Reference points at one time are averaged first.
+    ``reference`` is one DataFrame (result column ``out``) or a dict ``{out: DataFrame}``;
+    several series are handled in one union and one pass. Linear in time between the
+    neighbouring points; before the first point the series' minimum, after the last its
+    maximum; a single point is a constant; no point gives null. Points at one time are
+    averaged first.
     """
-    ref = reference.groupBy(key, t).agg(F.avg(value).alias("_y"))
-    stats = ref.groupBy(key).agg(F.min("_y").alias("_lo"), F.max("_y").alias("_hi"), F.count("_y").alias("_n"))
-    # targets keep all their columns through the union, so no row id and no join back
-    tgt = targets.withColumn("_tgt", F.lit(True)).withColumn("_y", F.lit(None).cast("double"))
-    both = tgt.unionByName(ref.select(key, t, "_y").withColumn("_tgt", F.lit(False)), allowMissingColumns=True)
-    d = _neighbors(_seg(both, t, seg_width), [key], t, t, ["_y"]).where(F.col("_tgt"))
-    pv, pp, nv, np_ = (F.col(f"_y__{s}") for s in ("pv", "pp", "nv", "np"))
+    refs = reference if isinstance(reference, dict) else {out: reference}
+    ys = {o: f"_y_{i}" for i, o in enumerate(refs)}
+    tgt = targets.withColumn("_tgt", F.lit(True))
+    for y in ys.values():
+        tgt = tgt.withColumn(y, F.lit(None).cast("double"))
+    parts = []
+    for o, r in refs.items():
+        a = r.groupBy(key, t).agg(F.avg(value).alias(ys[o]))
+        for o2, y2 in ys.items():
+            if o2 != o:
+                a = a.withColumn(y2, F.lit(None).cast("double"))
+        parts.append(a.select(key, t, *ys.values()))
+    ref_all = reduce(lambda a, b: a.unionByName(b), parts)
+    stats = ref_all.groupBy(key).agg(*[e for y in ys.values() for e in (
+        F.min(y).alias(f"{y}__lo"), F.max(y).alias(f"{y}__hi"), F.count(y).alias(f"{y}__n"))])
+    both = tgt.unionByName(ref_all.withColumn("_tgt", F.lit(False)), allowMissingColumns=True)
+    d = _scan(_seg(both, t, seg_width), [key], t, list(ys.values()), False).where(F.col("_tgt"))
     d = d.join(stats, key, "left")
-    v = (F.when(F.col("_n").isNull() | (F.col("_n") == 0), F.lit(None).cast("double"))
-          .when((F.col("_n") == 1) | pp.isNull(), F.col("_lo"))
-          .when(np_.isNull(), F.col("_hi"))
-          .when(np_ == pp, pv)
-          .otherwise(pv + (nv - pv) * (F.col(t) - pp) / (np_ - pp)))
-    return d.withColumn(out, v).select(*targets.columns, out)
+    for o, y in ys.items():
+        pv, pp, nv, np_ = (F.col(f"{y}__{s}") for s in ("pv", "pp", "nv", "np"))
+        n, lo, hi = F.col(f"{y}__n"), F.col(f"{y}__lo"), F.col(f"{y}__hi")
+        v = (F.when(n.isNull() | (n == 0), F.lit(None).cast("double"))
+              .when((n == 1) | pp.isNull(), lo)
+              .when(np_.isNull(), hi)
+              .when(np_ == pp, pv)
+              .otherwise(pv + (nv - pv) * (F.col(t) - pp) / (np_ - pp)))
+        d = d.withColumn(o, v)
+    return d.select(*targets.columns, *refs.keys())
 
 
 def rebase(df: DataFrame, col: str = "hour", key: str = "encounter_id", out: str | None = None) -> DataFrame:

@@ -563,3 +563,205 @@ LEFT JOIN v_bmi b ON s.encounter_id = b.encounter_id LEFT JOIN v_death d ON s.en
 LEFT JOIN v_icu i ON s.encounter_id = i.encounter_id""",
     "cat": "SELECT 'gender' AS variable, gender AS level FROM t1 UNION ALL SELECT 'death', CAST(death AS VARCHAR) FROM t1"}))(
     _table_one)
+
+# --- continuous metrics (MET-01..11) -----------------------------------------------------------------------------
+
+from wardlens.plans import metrics as MT  # noqa: E402
+
+
+def interp_sql(src: str, cols, t: str, forward=(), keep=()) -> str:
+    """Positional per-encounter fill of ``cols`` (interior; ``forward`` ones also carry the tail)."""
+    win = []
+    for i, c in enumerate(cols):
+        q = f'"{c}"'
+        w = "PARTITION BY encounter_id ORDER BY {t} ROWS BETWEEN {f}"
+        pre = w.format(t=t, f="UNBOUNDED PRECEDING AND CURRENT ROW")
+        fol = w.format(t=t, f="CURRENT ROW AND UNBOUNDED FOLLOWING")
+        win.append(f"last_value({q} IGNORE NULLS) OVER ({pre}) AS pv{i}, "
+                   f"last_value(CASE WHEN {q} IS NOT NULL THEN idx END IGNORE NULLS) OVER ({pre}) AS pi{i}, "
+                   f"first_value({q} IGNORE NULLS) OVER ({fol}) AS nv{i}, "
+                   f"first_value(CASE WHEN {q} IS NOT NULL THEN idx END IGNORE NULLS) OVER ({fol}) AS ni{i}")
+    sel = []
+    for i, c in enumerate(cols):
+        q = f'"{c}"'
+        e = (f"CASE WHEN {q} IS NOT NULL THEN {q} WHEN pi{i} IS NOT NULL AND ni{i} IS NOT NULL THEN "
+             f"CASE WHEN ni{i} = pi{i} THEN pv{i} ELSE pv{i} + (nv{i} - pv{i}) * (idx - pi{i}) / (ni{i} - pi{i}) END END")
+        if c in forward:
+            e = f"coalesce({e}, pv{i})"
+        sel.append(f"{e} AS {q}")
+    other = ", ".join(f'"{k}"' for k in keep)
+    return f"""SELECT encounter_id, {t}{', ' + other if other else ''}, {', '.join(sel)} FROM (
+  SELECT *, {', '.join(win)} FROM (
+    SELECT *, row_number() OVER (PARTITION BY encounter_id ORDER BY {t}) - 1 AS idx FROM ({src}) s0) s1) s2"""
+
+
+def o2_sql(targets: str, hgb: str, po2: str, label: str) -> str:
+    t0 = f"SELECT encounter_id, time_s, value AS sat FROM ({targets}) x"
+    h = asof_sql(t0, hgb, "h", "encounter_id, time_s, sat")
+    p = asof_sql(h, po2, "p", "encounter_id, time_s, sat, h")
+    return (f"SELECT encounter_id, time_s, '{label}' AS name, 1.34 * sat / 100.0 * h + 0.003 * coalesce(p, 0.0) AS value "
+            f"FROM ({p}) y")
+
+
+def _metric_comp_sql(labs=None, flow=None, rename=None) -> str:
+    parts = []
+    if labs:
+        parts.append(_COHORT_LABS(labs))
+    if flow:
+        parts.append(_COHORT_FLOW(flow))
+    u = " UNION ALL ".join(f"SELECT * FROM ({p}) p{i}" for i, p in enumerate(parts))
+    if len(parts) > 1:
+        ids = " INTERSECT ".join(f"SELECT encounter_id FROM ({p}) q{i}" for i, p in enumerate(parts))
+        u = f"SELECT * FROM ({u}) u WHERE encounter_id IN ({ids})"
+    if rename:
+        case = "CASE " + " ".join(f"WHEN name = '{k}' THEN '{v}'" for k, v in rename.items()) + " ELSE name END"
+        u = f"SELECT encounter_id, time_s, {case} AS name, value FROM ({u}) r"
+    return u
+
+
+def _met(metric_cls, spark, sf):
+    co = cohort(spark, sf)
+    return MT.add_continuous_metric(co, metric_cls)
+
+
+def _o2content(spark, sf):
+    g = _met(MT.OxygenContent, spark, sf).compute()
+    return g.select("encounter_id", "hour", r6("CaO2").alias("CaO2"), r6("CvO2").alias("CvO2"))
+
+
+_OC = MT.OxygenContent
+_OC_COMP = _metric_comp_sql(labs=_OC.REQUIRES["labs"])
+_HGB = f"SELECT * FROM comp WHERE name IN {_lst(MT.HGB_NAMES)}"
+register("o2_content", with_ctes("""
+SELECT encounter_id, hour, round(avg(CASE WHEN name = 'CaO2' THEN value END), 6) AS "CaO2",
+  round(avg(CASE WHEN name = 'CvO2' THEN value END), 6) AS "CvO2" FROM (
+  SELECT r.encounter_id, r.name, r.value, r.hour - m.mh AS hour FROM hr r JOIN (SELECT encounter_id, min(hour) AS mh FROM hr GROUP BY 1) m
+  ON r.encounter_id = m.encounter_id) z GROUP BY 1, 2""", "eid", "labs_c", extra={
+    "comp": _OC_COMP,
+    "o2": o2_sql("SELECT * FROM comp WHERE name LIKE '%O2SAT ARTERIAL%'", _HGB, "SELECT * FROM comp WHERE name LIKE '%PO2 ARTERIAL%'", "CaO2")
+    + " UNION ALL " + o2_sql("SELECT * FROM comp WHERE name LIKE '%O2SAT VENOUS%'", _HGB, "SELECT * FROM comp WHERE name LIKE '%PO2 VENOUS%'", "CvO2"),
+    "hr": "SELECT encounter_id, name, value, CAST(round_even((time_s / 86400.0) * 24.0, 0) AS BIGINT) AS hour FROM o2 WHERE value IS NOT NULL"}))(
+    _o2content)
+
+
+def _long_sql(src: str, cols, t: str = "hour", extra: str = "") -> str:
+    return " UNION ALL ".join(f"SELECT encounter_id, {t}, '{c}' AS name, round(CAST(\"{c}\" AS DOUBLE), 6) AS value{extra} FROM ({src}) l{i}"
+                              for i, c in enumerate(cols))
+
+
+def _do2(spark, sf):
+    return _met(MT.OxygenDelivery, spark, sf).compute().withColumn("value", r6("value"))
+
+
+_DO = MT.OxygenDelivery
+register("do2", with_ctes(
+    _long_sql("SELECT * FROM f3", ["DO2", "DO2_I"], extra=", CAST(round(hour * 3600) AS BIGINT) AS time_s"),
+    "eid", "labs_c", "flow_c", extra={
+        "comp": _metric_comp_sql(_DO.REQUIRES["labs"], _DO.REQUIRES["flowsheet"], _DO.RENAME),
+        "ca": o2_sql("SELECT * FROM comp WHERE name LIKE '%O2SAT ARTERIAL%'", _HGB, "SELECT * FROM comp WHERE name LIKE '%PO2 ARTERIAL%'", "CaO2"),
+        "rw": "SELECT encounter_id, time_s, name, value FROM ca UNION ALL SELECT encounter_id, time_s, name, value FROM comp WHERE name IN ('CCO', 'CCI')",
+        "kp": "SELECT encounter_id FROM rw GROUP BY 1 HAVING bool_or(name LIKE '%CC%') AND bool_or(name = 'CaO2')",
+        "grid": _pivot_sql("SELECT encounter_id, round_even((time_s / 86400.0) * 24.0, 1) AS hour, name, value FROM rw "
+                           "WHERE value IS NOT NULL AND encounter_id IN (SELECT encounter_id FROM kp)", ["CCO", "CCI", "CaO2"], t="hour", rnd=False),
+        "f1": interp_sql("SELECT * FROM grid", ["CCO", "CCI", "CaO2"], "hour", forward=("CaO2",)),
+        "f2": 'SELECT encounter_id, hour, 10 * "CCO" * "CaO2" AS "DO2", 10 * "CCI" * "CaO2" AS "DO2_I" FROM f1',
+        "f3": interp_sql("SELECT * FROM f2", ["DO2", "DO2_I"], "hour", forward=("DO2", "DO2_I")),
+    }))(_do2)
+
+
+def _vo2(spark, sf):
+    return _met(MT.OxygenConsumption, spark, sf).compute().withColumn("value", r6("value"))
+
+
+_VO = MT.OxygenConsumption
+register("vo2", with_ctes(
+    _long_sql("SELECT * FROM f3", ["VO2", "VO2_I"], extra=", CAST(hour * 3600 AS BIGINT) AS time_s"),
+    "eid", "labs_c", "flow_c", extra={
+        "comp": _metric_comp_sql(_VO.REQUIRES["labs"], _VO.REQUIRES["flowsheet"], _VO.RENAME),
+        "ca": o2_sql("SELECT * FROM comp WHERE name LIKE '%O2SAT ARTERIAL%'", _HGB, "SELECT * FROM comp WHERE name LIKE '%PO2 ARTERIAL%'", "CaO2"),
+        "cv": o2_sql("SELECT * FROM comp WHERE name IN ('O2SAT VENOUS MEASURED', 'SVO2 (%)')", _HGB, "SELECT * FROM comp WHERE name LIKE '%PO2 VENOUS%'", "CvO2"),
+        "rw": "SELECT encounter_id, time_s, name, value FROM ca UNION ALL SELECT encounter_id, time_s, name, value FROM cv "
+              "UNION ALL SELECT encounter_id, time_s, name, value FROM comp WHERE name IN ('CCO', 'CCI')",
+        "kp": "SELECT encounter_id FROM rw GROUP BY 1 HAVING bool_or(name LIKE '%CC%') AND bool_or(name = 'CaO2') AND bool_or(name = 'CvO2')",
+        "grid": _pivot_sql("SELECT encounter_id, CAST(round_even((time_s / 86400.0) * 24.0, 0) AS BIGINT) AS hour, name, value FROM rw "
+                           "WHERE value IS NOT NULL AND encounter_id IN (SELECT encounter_id FROM kp)", ["CCO", "CCI", "CaO2", "CvO2"], t="hour", rnd=False),
+        "f1": interp_sql("SELECT * FROM grid", ["CCO", "CCI", "CaO2", "CvO2"], "hour"),
+        "f2": 'SELECT encounter_id, hour, 10 * "CCO" * ("CaO2" - "CvO2") AS "VO2", 10 * "CCI" * ("CaO2" - "CvO2") AS "VO2_I" FROM f1',
+        "f3": interp_sql("SELECT * FROM f2", ["VO2", "VO2_I"], "hour", forward=("VO2", "VO2_I")),
+    }))(_vo2)
+
+_CP = MT.CardiacPower
+_CP_CTES = {
+    "cpc": _metric_comp_sql(flow=_CP.REQUIRES["flowsheet"], rename=_CP.RENAME),
+    "cpg": _pivot_sql("SELECT * FROM cpc WHERE name <> 'CVP' OR value <= 27.12", _CP.GRID, rnd=False),
+    "cp1": interp_sql("SELECT * FROM cpg", ["A-LINE MAP", "CVP"], "time_s", keep=("CCO",)),
+    "cp2": 'SELECT encounter_id, time_s, ("A-LINE MAP" - "CVP") * "CCO" / 451.0 AS "Cardiac Power" FROM cp1',
+    "cp3": interp_sql("SELECT * FROM cp2", ["Cardiac Power"], "time_s"),
+    "cpo": "SELECT encounter_id, time_s, round(\"Cardiac Power\", 6) AS value, 'Cardiac Power' AS name FROM cp3",
+}
+_RV = MT.VentricularStrokeWorkIndex
+_RV_CTES = {
+    "rvc": _metric_comp_sql(flow=_RV.REQUIRES["flowsheet"], rename=_RV.RENAME),
+    "rvg": _pivot_sql("SELECT * FROM rvc WHERE name <> 'CVP' OR value <= 27.12", _RV.GRID, rnd=False),
+    "rv1": interp_sql("SELECT * FROM rvg", ["CCI", "PULSE", "PAP (MEAN)"], "time_s", keep=("CVP",)),
+    "rv2": 'SELECT encounter_id, time_s, ("PAP (MEAN)" - "CVP") * (CASE WHEN "PULSE" = 0 THEN NULL ELSE "CCI" / "PULSE" END) AS "RVSWI" FROM rv1',
+    "rv3": interp_sql("SELECT * FROM rv2", ["RVSWI"], "time_s"),
+    "rvo": "SELECT encounter_id, time_s, round(\"RVSWI\", 6) AS value, 'RVSWI' AS name FROM rv3",
+}
+
+
+def _cp(spark, sf):
+    return _met(MT.CardiacPower, spark, sf).compute().withColumn("value", r6("value"))
+
+
+def _rv(spark, sf):
+    return _met(MT.VentricularStrokeWorkIndex, spark, sf).compute().withColumn("value", r6("value"))
+
+
+register("cardiac_power", with_ctes("SELECT * FROM cpo", "eid", "flow_c", extra=_CP_CTES))(_cp)
+register("rvswi", with_ctes("SELECT * FROM rvo", "eid", "flow_c", extra=_RV_CTES))(_rv)
+
+
+def _pulsatility(spark, sf):
+    return _met(MT.Pulsatility, spark, sf).compute()
+
+
+register("pulsatility", with_ctes("""
+SELECT encounter_id, time_s, avg(CASE WHEN name = 'SBP' THEN value END) - avg(CASE WHEN name = 'DBP' THEN value END) AS value
+FROM bp GROUP BY 1, 2""", "eid", "flow_c", extra={"bp": tidy_flow_sql(
+    "(SELECT encounter_id, flowsheet_days_since_birth, flowsheet_time, 'SBP' AS display_name, split_part(flowsheet_value, '/', 1) AS flowsheet_value "
+    "FROM flow_c WHERE display_name = 'BP' AND flowsheet_value LIKE '%/%' AND encounter_id IN (SELECT encounter_id FROM eid) "
+    "UNION ALL SELECT encounter_id, flowsheet_days_since_birth, flowsheet_time, 'DBP', split_part(flowsheet_value, '/', 2) "
+    "FROM flow_c WHERE display_name = 'BP' AND flowsheet_value LIKE '%/%' AND encounter_id IN (SELECT encounter_id FROM eid))")}))(
+    _pulsatility)
+
+
+def _blood_gas(spark, sf):
+    g = MT.blood_gas_bins(cohort(spark, sf))
+    return g.select("encounter_id", "rhour_b", *[r6(F.col(f"`{n}`")).alias(n) for n in MT.BLOOD_GAS_LABS])
+
+
+register("blood_gas_bins", with_ctes(_pivot_sql(
+    "SELECT encounter_id, CAST(ceil((rhour + 1) / 8.0) * 8 AS BIGINT) AS rhour_b, name, value FROM rb",
+    MT.BLOOD_GAS_LABS, t="rhour_b"), "eid", "labs_c", extra={"rb": _REBASE_SQL}))(_blood_gas)
+
+
+def _report(spark, sf):
+    co = cohort(spark, sf)
+    cp = MT.add_continuous_metric(co, MT.CardiacPower).compute()
+    rv = MT.add_continuous_metric(co, MT.VentricularStrokeWorkIndex).compute()
+    return MT.metric_report(co, [cp, rv]).withColumn("value", r6("value"))
+
+
+register("metric_report", with_ctes("""
+SELECT m.death, a.encounter_id, a.btime, a.name, round(avg(a.value), 6) AS value FROM (
+  SELECT s.encounter_id, s.name, s.value, CAST(floor((s.time_s - CAST(o."offset" AS BIGINT) * 86400) / 43200.0) * 12 AS BIGINT) AS btime,
+    s.time_s - CAST(o."offset" AS BIGINT) * 86400 AS t
+  FROM (SELECT encounter_id, time_s, name, value FROM cp3x UNION ALL SELECT encounter_id, time_s, name, value FROM rv3x) s
+  LEFT JOIN offs o ON s.encounter_id = o.encounter_id) a
+LEFT JOIN (SELECT DISTINCT encounter_id, death_during_encounter AS death FROM einfo) m ON a.encounter_id = m.encounter_id
+WHERE a.value IS NOT NULL AND a.t IS NOT NULL
+GROUP BY 1, 2, 3, 4 HAVING a.btime BETWEEN -1 AND 200""", "eid", "einfo", "offs", "flow_c", extra={
+    **_CP_CTES, **_RV_CTES,
+    "cp3x": "SELECT encounter_id, time_s, 'Cardiac Power' AS name, \"Cardiac Power\" AS value FROM cp3",
+    "rv3x": "SELECT encounter_id, time_s, 'RVSWI' AS name, \"RVSWI\" AS value FROM rv3"}))(_report)

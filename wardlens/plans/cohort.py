@@ -135,3 +135,11 @@ class EncounterCohort(_CohortBase):
         self.eid = self.encounter_info.select("encounter_id").distinct()
         self.pid = self.encounter_info.select("person_id").distinct()
         self.encounters = self.eid
+
+
+def _add_metric(self, metric_cls):
+    from wardlens.plans.metrics import add_continuous_metric
+    return add_continuous_metric(self, metric_cls)
+
+
+ProcedureCohort.add_continuous_metric = _add_metric

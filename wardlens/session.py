@@ -29,6 +29,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     b = SparkSession.builder.appName(app_name)
     if master:
         b = b.master(master)
+        if master.startswith("local"):  # local mode: the driver JVM is the only executor
+            b = b.config("spark.driver.memory", "8g")
     for k, v in DEFAULT_CONF.items():
         b = b.config(k, v)
     if shuffle_partitions is not None:
