@@ -765,3 +765,69 @@ GROUP BY 1, 2, 3, 4 HAVING a.btime BETWEEN -1 AND 200""", "eid", "einfo", "offs"
     **_CP_CTES, **_RV_CTES,
     "cp3x": "SELECT encounter_id, time_s, 'Cardiac Power' AS name, \"Cardiac Power\" AS value FROM cp3",
     "rv3x": "SELECT encounter_id, time_s, 'RVSWI' AS name, \"RVSWI\" AS value FROM rv3"}))(_report)
+
+# --- sources and sinks round trips (SRC-02/03/07, SNK-01..05) ---------------------------------------------------
+
+import uuid  # noqa: E402
+
+from wardlens.session import checkpoint_dir  # noqa: E402
+from wardlens.sources import sinks as SK  # noqa: E402
+from wardlens.streaming.flowsheet_etl import run_flowsheet_stream  # noqa: E402
+
+
+def _scratch(spark, tag: str) -> str:
+    """A fresh folder under the shared checkpoint folder (never a machine-local path on a cluster)."""
+    return os.path.join(checkpoint_dir(spark), f"wardlens-{tag}-{uuid.uuid4().hex}")
+
+
+import os  # noqa: E402
+
+
+def _partition_roundtrip(spark, sf):
+    p = ds(spark, sf).labs.partition(_scratch(spark, "part"))
+    return spark.read.parquet(p).where(F.col("lab_component_name") == "HEMOGLOBIN")  # partition pruning
+
+
+register("partition_roundtrip", with_ctes("""
+SELECT encounter_id, lab_result_value, lab_result_unit, lab_collection_days_since_birth, lab_collection_time, loinc_code,
+  upper(lab_component_name) AS lab_component_name FROM labs_v WHERE upper(lab_component_name) = 'HEMOGLOBIN'""",
+    extra={"__views__": ["labs"]}))(_partition_roundtrip)
+
+
+def _dump(spark, sf):
+    co = cohort(spark, sf)
+    d = _scratch(spark, "dump")
+    SK.dump_tables(co, d)
+    labs = co.db.labs.sel()
+    return spark.read.schema(labs.schema).option("header", True).csv(os.path.join(d, "Table3_Lab.csv"))
+
+
+register("dump_cohort", with_ctes(
+    "SELECT * FROM labs_c WHERE lab_component_name IN ('CREATININE SERUM', 'TROPONIN I') AND encounter_id IN (SELECT encounter_id FROM eid)",
+    "eid", "labs_c"))(_dump)
+
+_ETL_SQL = with_ctes("""
+SELECT encounter_id, CAST(flowsheet_days_since_birth AS INT) AS flowsheet_days_since_birth, flowsheet_time, flowsheet_value,
+  upper(display_name) AS display_name FROM flowsheet_v
+WHERE encounter_id IS NOT NULL AND TRY_CAST(flowsheet_days_since_birth AS INT) IS NOT NULL""", extra={"__views__": ["flowsheet"]})
+
+
+def _raw_flowsheet_csv(spark, sf) -> str:
+    src = _scratch(spark, "flow-csv")
+    SK.csv_writer(ds(spark, sf).flowsheet.df).csv(src)
+    return src
+
+
+def _etl(spark, sf):
+    out = SK.preprocess_flowsheet(spark, _raw_flowsheet_csv(spark, sf), _scratch(spark, "flow-etl"))
+    return spark.read.parquet(out)
+
+
+def _etl_stream(spark, sf):
+    out = run_flowsheet_stream(spark, _raw_flowsheet_csv(spark, sf), _scratch(spark, "flow-stream"),
+                               _scratch(spark, "flow-stream-ckpt"))
+    return spark.read.parquet(out)
+
+
+register("flowsheet_etl", _ETL_SQL)(_etl)
+register("flowsheet_stream_etl", _ETL_SQL)(_etl_stream)
