@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,10 +60,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def materialize(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut a long lineage with a reliable checkpoint in the shared checkpoint folder.
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut a long lineage by writing a Parquet table under the shared checkpoint folder.
 
-    Survives executor loss (unlike a local checkpoint, which lives on executor disks).
+    The input is computed once (a reliable RDD checkpoint computes it twice), the copy
+    survives executor loss (unlike a local checkpoint, which lives on executor disks), and
+    the re-read is a columnar scan with statistics for the optimizer.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    spark = df.sparkSession
+    path = os.path.join(checkpoint_dir(spark), f"wardlens-mat-{uuid.uuid4().hex}")
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)

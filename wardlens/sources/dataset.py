@@ -121,18 +121,24 @@ def pivot_flowsheet_days(df: DataFrame, names) -> DataFrame:
 class Dataset:
     """Seven named clinical tables (SRC-04)."""
 
-    def __init__(self, spark: SparkSession, frames: dict[str, DataFrame]):
+    def __init__(self, spark: SparkSession, frames: dict):
+        """``frames`` maps table name to a DataFrame or to a function building it (built on
+        first use, so a query only analyses the tables it touches)."""
         self.spark = spark
-        self._tables = {n: Table(META[n], frames[n]) for n in TABLE_NAMES if n in frames}
-        for n, t in self._tables.items():
-            setattr(self, n, t)
-        self.tables = list(self._tables)
+        self._frames = {n: frames[n] for n in TABLE_NAMES if n in frames}
+        self._tables: dict[str, Table] = {}
+        self.tables = list(self._frames)
+
+    def __getattr__(self, name):
+        if name.startswith("_") or name not in self.__dict__.get("_frames", {}):
+            raise AttributeError(name)
+        return self.table(name)
 
     # --- constructors -------------------------------------------------------------
     @classmethod
     def from_driver_tables(cls, spark: SparkSession, sf_dir: str) -> "Dataset":
         """Adapter views over the TPC-H-like test tables."""
-        return cls(spark, adapter.spark_views(spark, sf_dir))
+        return cls(spark, {v: (lambda v=v: spark.sql(adapter.spark_view_sql(v, sf_dir))) for v in adapter.VIEWS})
 
     @classmethod
     def from_root(cls, spark: SparkSession, root: str, layout: str = "swan") -> "Dataset":
@@ -143,6 +149,9 @@ class Dataset:
         return cls(spark, frames)
 
     def table(self, name: str) -> Table:
+        if name not in self._tables:
+            f = self._frames[name]
+            self._tables[name] = Table(META[name], f() if callable(f) else f)
         return self._tables[name]
 
     # --- CO-01 ----------------------------------------------------------------------
