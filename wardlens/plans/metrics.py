@@ -112,6 +112,19 @@ def o2_content_at(targets: DataFrame, hgb: DataFrame, po2: DataFrame, label: str
                     o2_content("_sat", "_h", F.coalesce(F.col("_p"), F.lit(0.0))).alias("value"))
 
 
+def o2_contents(c: DataFrame, arterial_sat, venous_sat) -> DataFrame:
+    """CaO2 and CvO2 rows in one as-of pass: both saturation kinds are targets, and
+    haemoglobin, arterial and venous PO2 are three reference series of the same union."""
+    t = (c.where(arterial_sat).select("encounter_id", "time_s", F.col("value").alias("_sat"), F.lit("CaO2").alias("name"))
+         .unionByName(c.where(venous_sat).select("encounter_id", "time_s", F.col("value").alias("_sat"), F.lit("CvO2").alias("name"))))
+    p = TS.asof_interpolate(t, {"_h": c.where(F.col("name").isin(HGB_NAMES)),
+                                "_pa": c.where(F.col("name").contains("PO2 ARTERIAL")),
+                                "_pv": c.where(F.col("name").contains("PO2 VENOUS"))})
+    po2 = F.when(F.col("name") == "CaO2", F.col("_pa")).otherwise(F.col("_pv"))
+    return p.select("encounter_id", "time_s", "name",
+                    o2_content("_sat", "_h", F.coalesce(po2, F.lit(0.0))).alias("value"))
+
+
 def _hours(t="time_s"):
     # (days * 24) as the reference computes it, so half-hour ties round the same way
     return (F.col(t) / float(DAY_S)) * 24.0
@@ -136,12 +149,8 @@ class OxygenContent(Metric):
     def compute(self, sample=None, with_components: bool = False) -> DataFrame:
         """MET-04: CaO2 / CvO2 per whole hour, hours re-based on each encounter's first."""
         c = self.components(sample)
-        hgb = c.where(F.col("name").isin(HGB_NAMES))
-        a = o2_content_at(c.where(F.col("name").contains("O2SAT ARTERIAL")), hgb,
-                          c.where(F.col("name").contains("PO2 ARTERIAL")), "CaO2")
-        v = o2_content_at(c.where(F.col("name").contains("O2SAT VENOUS")), hgb,
-                          c.where(F.col("name").contains("PO2 VENOUS")), "CvO2")
-        out = a.unionByName(v).where(F.col("value").isNotNull())
+        out = o2_contents(c, F.col("name").contains("O2SAT ARTERIAL"), F.col("name").contains("O2SAT VENOUS"))
+        out = out.where(F.col("value").isNotNull())
         out = out.withColumn("hour", F.bround(_hours(), 0).cast("bigint"))
         out = TS.rebase(out, "hour")
         return TD.pivot_tidy(out, ["CaO2", "CvO2"], t="hour")
@@ -189,12 +198,8 @@ class OxygenConsumption(Metric):
 
     def prep(self, sample=None) -> DataFrame:
         c = self.components(sample)
-        hgb = c.where(F.col("name").isin(HGB_NAMES))
-        ca = o2_content_at(c.where(F.col("name").contains("O2SAT ARTERIAL")), hgb,
-                           c.where(F.col("name").contains("PO2 ARTERIAL")), "CaO2")
-        cv = o2_content_at(c.where(F.col("name").isin("O2SAT VENOUS MEASURED", "SVO2 (%)")), hgb,
-                           c.where(F.col("name").contains("PO2 VENOUS")), "CvO2")
-        rows = ca.unionByName(cv).unionByName(c.where(F.col("name").isin("CCO", "CCI")))
+        o2 = o2_contents(c, F.col("name").contains("O2SAT ARTERIAL"), F.col("name").isin("O2SAT VENOUS MEASURED", "SVO2 (%)"))
+        rows = o2.unionByName(c.where(F.col("name").isin("CCO", "CCI")))
         keep = _has(rows, {"_cc": F.col("name").contains("CC"), "_ca": F.col("name") == "CaO2",
                            "_cv": F.col("name") == "CvO2"})
         rows = rows.join(keep, "encounter_id", "left_semi").where(F.col("value").isNotNull())
