@@ -105,19 +105,13 @@ def cut_half_days(df: DataFrame, col: str, upper=None, out: str = "bin") -> Data
     """WIN-07: right-closed half-day bins from -0.5, labelled by index; null above the last edge.
 
     The last edge is the largest ``-0.5 + 0.5*j`` below ``upper`` (default: the column's
-    maximum, a one-row aggregate joined back by a constant key).
+    maximum, a scalar subquery evaluated once, no join).
     """
     x = F.col(col)
-    if upper is None:
-        mx = df.agg(F.max(col).alias("_mx")).withColumn("_k", F.lit(1))
-        df = df.withColumn("_k", F.lit(1)).join(F.broadcast(mx), "_k").drop("_k")
-        up = F.col("_mx")
-    else:
-        up = F.lit(float(upper))
+    up = df.select(F.max(col)).scalar() if upper is None else F.lit(float(upper))
     last_edge = F.ceil((up + 0.5) / 0.5) * 0.5 - 1.0  # largest -0.5 + 0.5j strictly below up
     idx = F.ceil((x + 0.5) / 0.5) - 1
-    res = df.withColumn(out, F.when((x > -0.5) & (x <= last_edge), idx.cast("bigint")))
-    return res.drop("_mx") if upper is None else res
+    return df.withColumn(out, F.when((x > -0.5) & (x <= last_edge), idx.cast("bigint")))
 
 
 def round_hours(df: DataFrame, time_col: str = "time_s", scale: int = 0, out: str = "hour") -> DataFrame:
