@@ -831,3 +831,11 @@ def _etl_stream(spark, sf):
 
 register("flowsheet_etl", _ETL_SQL)(_etl)
 register("flowsheet_stream_etl", _ETL_SQL)(_etl_stream)
+
+
+def _aki_outcome(spark, sf):
+    co = cohort(spark, sf)
+    return MT.PostOpAKI(co.db, encounter_id=co.eid, offset=co.offset).compute()
+
+
+register("aki_outcome", ORACLE["aki"])(_aki_outcome)

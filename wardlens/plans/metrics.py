@@ -280,6 +280,35 @@ class Pulsatility(Metric):
         return g.select("encounter_id", "time_s", F.col("pulsatility").alias("value"))
 
 
+class Outcome(Metric):
+    """A per-encounter outcome: like a metric, plus a code -> description map (UDF-03)."""
+
+    CODE_DESCRIPTION: dict = {}
+
+
+class PostOpAKI(Outcome):
+    """CL-06: kidney-injury stage from the fetched creatinine, aligned on the cohort's offsets."""
+
+    classname, shortname = "PostOpAKI", "AKI"
+    REQUIRES = {"labs": ["CREATININE SERUM"]}
+
+    def __init__(self, db, encounter_id=None, offset: DataFrame | None = None):
+        super().__init__(db, encounter_id)
+        self.offset = offset
+
+    @property
+    def CODE_DESCRIPTION(self):  # noqa: N802
+        from wardlens.functions.codesets import AKI_LABELS
+        return AKI_LABELS
+
+    def compute(self, sample=None, with_components: bool = False) -> DataFrame:
+        from wardlens.plans.cohort import align
+        from wardlens.plans.variables import aki_stage
+        c = self.db_fetch() if sample is None else self.components(sample)
+        c = c.where(F.col("value").between(0.2, 25))
+        return aki_stage(align(c, self.offset))
+
+
 # Blood-gas lab names of the binned table.
 BLOOD_GAS_LABS = ["O2SAT ARTERIAL MEASURED", "PO2 ARTERIAL", "O2SAT VENOUS MEASURED", "PO2 VENOUS"]
 
