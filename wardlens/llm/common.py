@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import uuid
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,9 +93,51 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
         e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def checked(spark: SparkSession) -> int:
-    """Partitions to deal wide work over: the session's shuffle partitions."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Ids up to so many are broadcast to a scan; more are joined by shuffle.
+BROADCAST_IDS = 400_000
+#: Up to so many members of a bucket are paired with each other at once.
+SMALL = 4
+
+
+def with_ids(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
+    """Rows of ``df`` whose ``on`` is in ``ids``; the ids are counted first to choose the join."""
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, "left_semi")
+
+
+def bucket_links(rows: DataFrame, may: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links (a, b) that connect whatever similar pairs of members the buckets hold.
+
+    ``rows`` has (key, id, x): bucket, member, and what the cheap test ``may`` reads of a member;
+    ``verify`` keeps the similar ones of distinct pairs (a, b). Every member is paired with its bucket's leader
+    (a pre-aggregated minimum by hash); small buckets are paired fully. What larger ones still lack are
+    pairs between components that the links so far leave apart. So rounds follow, with 4 times as
+    many further leaders each (members below a rising hash threshold), which meet members of other components
+    only. They end when each bucket is one component or has had all its pairs tested: none is capped.
+    """
+    u = F.shiftrightunsigned(F.xxhash64("id", F.lit(17)), 11) / F.lit(2.0**53)
+    lead = rows.groupBy("key").agg(F.min(F.struct(u.alias("u"), "id", "x")).alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = store(rows.join(lead.select("key", "n", F.col("m.id").alias("lead"), F.col("m.x").alias("lead_x")), "key"), "buckets")
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    first = shared.where((F.col("id") != F.col("lead")) & may(F.col("x"), F.col("lead_x"))).select(*pair(F.col("id"), F.col("lead")))
+    few = shared.where(f"n > 2 and n <= {SMALL}").groupBy("key").agg(F.collect_list(F.struct("id", "x")).alias("m"))
+    few = few.select(F.explode("m").alias("p"), "m").select("p", F.explode("m").alias("q")).where("p.id < q.id").where(may(F.col("p.x"), F.col("q.x")))
+    found = store(verify(store(first.union(few.select(*pair(F.col("p.id"), F.col("q.id")))).distinct(), "pairs")), "links")
+    large = shared.where(f"n > {SMALL}").select("key", "id", "x", "n", u.alias("u"))
+    done, width = 0, 4
+    while True:
+        comp = connected_components(found)
+        d = large.where(F.col("n") > done).join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        apart = d.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+        d = store(d.join(apart, "key", "left_semi"), "open")
+        if d.isEmpty():
+            return found
+        place = F.col("u") * F.col("n")
+        leaders = d.where((place >= done) & (place < done + width)).select(
+            "key", F.col("id").alias("lead"), F.col("x").alias("lead_x"), F.col("root").alias("lead_root"), F.col("u").alias("lead_u"))
+        more = d.join(leaders, "key").where("u > lead_u and root <> lead_root").where(may(F.col("x"), F.col("lead_x")))
+        more = store(more.select(*pair(F.col("id"), F.col("lead"))).distinct(), "pairs")
+        found = store(found.union(verify(more)).distinct(), "links")
+        done, width = done + width, width * 4
 
 
 def bounded_sample(df: DataFrame, key: str, n: int) -> DataFrame:

@@ -6,10 +6,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlens.llm import decontam, lang_id, mixing, quality_classifier, quality_rules, sharding, token_counts
+from wardlens.llm import decontam, lang_id, line_dedup, minhash, mixing, quality_classifier, quality_rules, sharding, suffix_dedup, token_counts
 from wardlens.llm.common import crc_mod, read_table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.dedup_substrings(docs).select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     out = token_counts.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), limit=2048)
@@ -31,6 +41,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs, columns=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
@@ -54,6 +69,6 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op4_quality_classifier, op5_quality_rules, op7_mix_sources,
-                                   op8_shard, op9_language_id, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_minhash_dedup, op3_token_counts, op4_quality_classifier, op5_quality_rules,
+                                   op6_line_dedup, op7_mix_sources, op8_shard, op9_language_id, op10_decontaminate)}
 ORACLE = {"op7_mix_sources": mixing.MIX_SQL, "op10_decontaminate": decontam.MARK_SQL}

@@ -53,9 +53,9 @@ def shard(df: DataFrame, shards: int = 16, seed: int = 11, source: str = "source
     body = F.coalesce(df[text], F.lit(""))
     d = df.select(*[df[c] for c in keep], (n_bytes(df[text]) + 1).alias("size"), F.crc32(body).alias("text_crc32"),
                   hash60(df[key], seed=seed).alias("h__"), df[source].alias("s__"), df[key].cast("string").alias("k__"))
-    d = store(d, "shard")
-    n = d.count()
-    buckets = max(1, n // BUCKET_ROWS)
+    if columns:  # narrow rows are written once; whole ones are cheaper to read again
+        d = store(d, "shard")
+    buckets = max(1, df.count() // BUCKET_ROWS)
     tie = [F.col("h__"), F.col("k__"), F.col("text_crc32"), F.col("size")]
     # Place within the source: buckets are equal stretches of the 60-bit hash.
     d = _rank(d, ["s__"], F.floor(F.col("h__") / F.lit(2.0**60) * buckets).cast("long"), tie, "r__", "n__")
