@@ -11,7 +11,7 @@ anchors at equal places, and all windows of a stretch share one anchor. Hence on
 Pass 1 groups records by anchor and, within it, by the bytes of the stretch. Of records with an equal stretch all but
 those of the smallest document are repeated throughout. This is settled first within each map task, so of any
 number of copies a task sends on one document's records. Only where an anchor has several stretches, pass 2
-sorts the single windows of the smallest documents. The remaining bytes are joined back by document.
+sorts the single windows of the smallest documents, whose bytes are then sent. The remaining bytes are joined back by document.
 """
 
 from __future__ import annotations
@@ -24,19 +24,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlens.llm.common import own_name, store
+from wardlens.llm.common import store
 
 THRESHOLD, DIGIT = 50, 20
 REACH = THRESHOLD - DIGIT + 1
 #: Windows worked on at once, and records that a map task settles among themselves at once.
-CHUNK, HELD = 1 << 18, 1_200_000
+CHUNK, HELD = 1 << 18, 800_000
 #: Bytes of text whose records one reducing group gets, about.
 BUCKET_BYTES = 12 << 20
 _RNG = np.random.default_rng(20_01)
 _BYTE = _RNG.integers(0, 1 << 64, 256, dtype=np.uint64)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-BLOB = "bucket int, kind int, ids binary, prints binary, sizes binary, h binary, g binary, at binary, at_high binary, n binary"
+BLOB = "bucket int, kind int, ids binary, prints binary, sizes binary, h binary, g binary, at binary, n binary, raw binary"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -142,12 +142,24 @@ def merged(r: Records) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return r.doc[k], r.fp[k], r.at[k], (reach[last] - base[last]).astype(np.int64)
 
 
+def _planes(x: np.ndarray, low: type) -> bytes:
+    """Integers as their low bytes followed by the rest, which is mostly zero and so compresses well."""
+    bits = 8 * np.dtype(low).itemsize
+    return x.astype(np.int64).astype(low).tobytes() + (x.astype(np.int64) >> bits).tobytes()
+
+
+def _from_planes(raw: bytes, low: type) -> np.ndarray:
+    wide = np.dtype(low).itemsize
+    n = len(raw) // (wide + 8)
+    return np.frombuffer(raw, low, n).astype(np.int64) + (np.frombuffer(raw, np.int64, n, n * wide) << (8 * wide))
+
+
 def pack(r: Records, bucket: np.ndarray, kind: int) -> list[tuple]:
-    """One row of binaries for each bucket. Records are in the order of the text, so places shrink to
+    """One row of binaries for each bucket. Records are in the order of the text, so ids and places shrink to
     differences and documents to counts. The upper half of the anchor's hash picks the bucket, the lower
-    half travels."""
-    r_order = np.lexsort((r.at, r.fp, r.doc, bucket))
-    r, bucket = r.take(r_order), bucket[r_order]
+    half travels, and 48 bits of the stretch's hash."""
+    order = np.lexsort((r.at, r.fp, r.doc, bucket))
+    r, bucket = r.take(order), bucket[order]
     out = []
     for part in np.split(np.arange(len(r)), np.flatnonzero(np.diff(bucket)) + 1):
         if len(part):
@@ -155,21 +167,22 @@ def pack(r: Records, bucket: np.ndarray, kind: int) -> list[tuple]:
             new = np.flatnonzero(np.append(True, (p.doc[1:] != p.doc[:-1]) | (p.fp[1:] != p.fp[:-1])))
             step = np.diff(p.at, prepend=0)
             step[new] = p.at[new]
-            out.append((int(bucket[part[0]]), kind, p.doc[new].tobytes(), p.fp[new].tobytes(),
-                        np.diff(np.append(new, len(p))).astype(np.uint32).tobytes(), p.h.astype(np.uint32).tobytes(), p.g.tobytes(),
-                        step.astype(np.uint16).tobytes(), (step >> 16).astype(np.uint32).tobytes(), p.n.astype(np.uint32).tobytes()))
+            out.append((int(bucket[part[0]]), kind, _planes(np.diff(p.doc[new], prepend=0), np.uint16), p.fp[new].tobytes(),
+                        _planes(np.diff(np.append(new, len(p))), np.uint8), p.h.astype(np.uint32).tobytes(),
+                        p.g.astype(np.uint32).tobytes() + (p.g >> np.uint64(32)).astype(np.uint16).tobytes(),
+                        _planes(step, np.uint16), _planes(p.n, np.uint8), b""))
     return out
 
 
 def unpack(row: dict) -> Records:
-    get = lambda name, kind: np.frombuffer(row[name], kind)
-    sizes = get("sizes", np.uint32)
-    first = np.cumsum(sizes) - sizes
-    step = get("at", np.uint16).astype(np.int64) + (get("at_high", np.uint32).astype(np.int64) << 16)
+    sizes = _from_planes(row["sizes"], np.uint8)
+    step = _from_planes(row["at"], np.uint16)
     total = np.cumsum(step)
-    at = total - np.repeat((total - step)[first.astype(np.int64)], sizes)
-    return Records(np.repeat(get("ids", np.int64), sizes), np.repeat(get("prints", np.int64), sizes), at,
-                   get("n", np.uint32).astype(np.int64), get("h", np.uint32).astype(np.uint64), get("g", np.uint64))
+    at = total - np.repeat((total - step)[np.cumsum(sizes) - sizes], sizes)
+    n = len(step)
+    g = np.frombuffer(row["g"], np.uint32, n).astype(np.uint64) + (np.frombuffer(row["g"], np.uint16, n, 4 * n).astype(np.uint64) << np.uint64(32))
+    return Records(np.repeat(np.cumsum(_from_planes(row["ids"], np.uint16)), sizes), np.repeat(np.frombuffer(row["prints"], np.int64), sizes), at,
+                   _from_planes(row["n"], np.uint8), np.frombuffer(row["h"], np.uint32).astype(np.uint64), g)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -223,44 +236,54 @@ def _pass1(buckets: int):
     return run
 
 
-def _pass2(buckets: int):
-    """(doc, print, text, spots) to the single windows of contested stretches."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n_held = [], 0
-        for b in batches:
-            for doc, fp, text, spots in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-                spots = np.unique(np.array([(s["at"], s["n"]) for s in spots], np.int64), axis=0)
-                for k in range(0, len(spots), CHUNK // 32):
-                    part = spots[k:k + CHUNK // 32]
-                    at = np.repeat(part[:, 0], part[:, 1]) + np.arange(part[:, 1].sum()) - np.repeat(np.cumsum(part[:, 1]) - part[:, 1], part[:, 1])
-                    base, top = int(at.min()), int(at.max()) + THRESHOLD
-                    pre = Prefix(raw[base:top])
-                    h = pre(at - base, THRESHOLD)
-                    one = np.ones(len(at), np.int64)
-                    g = _mix(pre(at - base, THRESHOLD // 2) ^ (pre(at - base + THRESHOLD // 2, THRESHOLD // 2) * _ODD))
-                    held.append(Records(one * doc, one * fp, at, one, h, g))
-                    n_held += len(at)
-                if n_held >= HELD:
-                    yield _batch(_send(held, buckets))
-                    held, n_held = [], 0
-        if n_held:
-            yield _batch(_send(held, buckets))
-
-    return run
+def _pass2(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(..., doc, fp, text__, spots) to the bytes of contested stretches, one row for each document and bucket."""
+    for b in batches:
+        doc, fp, text, spots = (b.column(b.schema.get_field_index(c)) for c in ("doc", "fp", "text__", "spots"))
+        rows, size = [], 0
+        for k in range(b.num_rows):
+            raw = text[k].as_py().encode("utf-8", "surrogatepass")
+            s = spots[k].values
+            bucket, at, n = (s.field(f).to_numpy(zero_copy_only=False) for f in ("bucket", "at", "n"))
+            order = np.lexsort((at, bucket))
+            bucket, at, n = bucket[order], at[order], n[order]
+            for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(bucket)) + 1):
+                p, q = at[part], n[part]
+                cut = b"".join(raw[i:i + m + THRESHOLD - 1] for i, m in zip(p.tolist(), q.tolist(), strict=True))
+                rows.append((int(bucket[part[0]]), 0, np.int64(doc[k].as_py()).tobytes(), np.int64(fp[k].as_py()).tobytes(), b"", b"", b"",
+                             p.astype(np.int64).tobytes(), q.astype(np.int64).tobytes(), cut))
+                size += len(cut)
+            if size > 8 << 20:
+                yield _batch(rows)
+                rows, size = [], 0
+        if rows:
+            yield _batch(rows)
+
+
+def _windows(rows: list[dict]) -> Records:
+    """The single windows of contested stretches."""
+    get = lambda f: np.concatenate([np.frombuffer(r[f], np.int64) for r in rows])
+    at, n = get("at"), get("n")
+    each = [len(r["at"]) // 8 for r in rows]
+    raw = np.frombuffer(b"".join(r["raw"] for r in rows), np.uint8)
+    length = n + THRESHOLD - 1
+    start = np.cumsum(length) - length
+    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    pre, here = Prefix(raw), np.repeat(start, n) + step
+    h = pre(here, THRESHOLD)
+    g = _mix(pre(here, THRESHOLD // 2) ^ (pre(here + THRESHOLD // 2, THRESHOLD // 2) * _ODD))
+    return Records(np.repeat(np.repeat(get("ids"), each), n), np.repeat(np.repeat(get("prints"), each), n), np.repeat(at, n) + step, np.ones(len(h), np.int64), h, g)
 
 
 def _reduce(last: bool):
-    """A bucket's records to (doc, print, kind, a, b): removed bytes (kind 0: start, end) and contested stretches (kind 1: first window, windows)."""
+    """A bucket's records to (doc, fp, kind, a, b, bucket): removed bytes (kind 0: start, end) and contested
+    stretches (kind 1: first window, windows)."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        parts = [unpack(r) for r in rows if r["kind"] == 0]
-        done = [unpack(r) for r in rows if r["kind"] == 1]
-        out = []
-        if parts:
-            repeated, rest, contested = settle(Records.join(parts).order())
+        done, out = [unpack(r) for r in rows if r["kind"] == 1], []
+        if parts := [r for r in rows if r["kind"] == 0]:
+            repeated, rest, contested = settle((_windows(parts) if last else Records.join([unpack(r) for r in parts])).order())
             done.append(repeated)
             if not last:
                 c = rest.take(contested)
@@ -268,9 +291,9 @@ def _reduce(last: bool):
         if done:
             doc, fp, start, end = merged(Records.join(done))
             out.append((doc, fp, np.zeros(len(doc), np.int32), start, end))
-        names = ["doc", "fp", "kind", "a", "b"]
-        kinds = (np.int64, np.int64, np.int32, np.int64, np.int64)
-        return pa.table({n: pa.array(np.concatenate([o[k] for o in out]) if out else np.zeros(0, t)) for k, (n, t) in enumerate(zip(names, kinds, strict=True))})
+        names, kinds = ("doc", "fp", "kind", "a", "b"), (np.int64, np.int64, np.int32, np.int64, np.int64)
+        cols = {n: np.concatenate([o[k] for o in out]) if out else np.zeros(0, t) for k, (n, t) in enumerate(zip(names, kinds, strict=True))}
+        return pa.table(cols | {"bucket": np.full(len(cols["doc"]), rows[0]["bucket"], np.int32)})
 
     return run
 
@@ -306,23 +329,29 @@ def dedup_substrings(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     shorter than THRESHOLD lose nothing, rows that repeat a key do not count for each other, and rows with a null key
     neither lose bytes nor count for others. Other columns are kept, but those of the result names are replaced.
 
-    Digits are compared by hashes: 32 bits and the bucket for the anchor, whose collisions only add work, and 64
-    further bits for the stretch or window.
+    Digits are compared by hashes: 32 bits and the bucket for the anchor, whose collisions only add work, and 48
+    further bits for a stretch; single windows by 128 bits.
     """
     made = ("kept", "n_bytes", "n_removed", "spans", "kept_sha256")
     keep = [c for c in df.columns if c != text and c.lower() not in made]
-    k_, f_ = own_name(df, "key__"), own_name(df, "print__")
-    docs = df.select(*keep, F.col(key).cast("long").alias(k_), F.xxhash64(F.col(text)).alias(f_), F.col(text).alias("text__"))
-    long_ = docs.where(F.col(k_).isNotNull() & (F.octet_length("text__") >= THRESHOLD)).select(F.col(k_).alias("doc"), F.col(f_).alias("fp"), F.col("text__").alias("t"))
-    total = long_.agg(F.sum(F.octet_length("t").cast("long"))).first()[0] or 0
+    ids = df.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("doc")).count()
+    # Prints of the texts tell rows of one key apart; where keys are unique none are needed.
+    on = ["doc"] if ids.where("count > 1").isEmpty() else ["doc", "fp"]
+    docs = df.select(*[F.col(c).alias(f"{c}__in") for c in keep], F.col(key).cast("long").alias("doc"),
+                     (F.xxhash64(F.col(text)) if len(on) > 1 else F.lit(0).cast("long")).alias("fp"), F.col(text).alias("text__"))
+    able = F.col("doc").isNotNull() & (F.coalesce(F.octet_length("text__"), F.lit(0)) >= THRESHOLD)
+    long_ = docs.where(able)
+    total = long_.agg(F.sum(F.octet_length("text__").cast("long"))).first()[0] or 0
     buckets = max(1, total // BUCKET_BYTES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    schema = "doc long, fp long, kind int, a long, b long"
-    one = store(long_.mapInArrow(_pass1(buckets), BLOB).groupBy("bucket").applyInArrow(_reduce(False), schema), "pass1")
-    contested = one.where("kind = 1").groupBy("doc", "fp").agg(F.collect_list(F.struct(F.col("a").alias("at"), F.col("b").alias("n"))).alias("spots"))
-    two = contested.join(long_.withColumnRenamed("t", "text__"), ["doc", "fp"])
-    two = two.select("doc", "fp", "text__", "spots").mapInArrow(_pass2(buckets), BLOB).groupBy("bucket").applyInArrow(_reduce(True), schema)
-    spans = one.where("kind = 0").unionByName(two).groupBy("doc", "fp").agg(F.collect_list(F.struct("a", "b")).alias("marks__"))
-    out = docs.join(spans, (docs[k_] == spans["doc"]) & (docs[f_] == spans["fp"]), "left").select(*keep, "text__", "marks__")
+    schema = "doc long, fp long, kind int, a long, b long, bucket int"
+    one = long_.select("doc", "fp", "text__").mapInArrow(_pass1(buckets), BLOB).groupBy("bucket").applyInArrow(_reduce(False), schema)
+    one = store(one, "pass1")
+    contested = one.where("kind = 1").groupBy(*on).agg(F.collect_list(F.struct("bucket", F.col("a").alias("at"), F.col("b").alias("n"))).alias("spots"))
+    # Both joins read the same columns of the documents, so that the texts are dealt out once.
+    two = long_.join(contested, on).mapInArrow(_pass2, BLOB).groupBy("bucket").applyInArrow(_reduce(True), schema)
+    spans = one.where("kind = 0").unionByName(two).groupBy(*on).agg(F.collect_list(F.struct("a", "b")).alias("marks__"))
+    out = long_.join(spans, on, "left").unionByName(docs.where(~able), allowMissingColumns=True)
+    out = out.select(*[F.col(f"{c}__in").alias(c) for c in keep], "text__", "marks__")
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema if f.name in keep), "kept binary", "n_bytes bigint", "n_removed bigint",
                         "spans array<struct<start:bigint,end:bigint>>", "kept_sha256 string"])
     return out.mapInArrow(lambda batches: _finish(batches, keep), fields)
