@@ -48,10 +48,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), f"wardlens-{name}-{uuid.uuid4().hex}")
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Write once to the shared folder and read back: cuts lineage and outlives a lost executor."""
+def store(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """Write once to the shared folder and read back: cuts lineage and outlives a lost executor.
+
+    ``files``: at most so many, for tables known to be small.
+    """
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.coalesce(files) if files else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -63,34 +66,31 @@ def own_name(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Links to a file of the component rounds, so that small graphs do not become hundreds of tiny files.
+LINKS_PER_FILE = 100_000
+
+
 def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """Smallest member of each link's component: (node, root), for nodes that occur in ``links``.
 
     ``links`` has two long columns (a, b). Alternates large-star and small-star steps (each is
     one shuffle with pre-aggregated minima); every round is written to the shared folder and
-    the loop ends when a round changes nothing. No component is ever gathered in one place.
+    the loop ends when every node but the roots has one link, to a root. No component is ever gathered in one place.
     """
-    spark = links.sparkSession
-    e = store(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
-    state = None
+    n = max(1, links.count())
+    e = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     for _ in range(rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(
-            F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
-        e = store(small.select("x.u", "x.v").where("u <> v").select(
-            F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
-    else:
-        raise RuntimeError("components did not settle; raise rounds")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
-        e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
+        e = store(small.select("x.u", "x.v").where("u <> v").distinct(), "cc", files=-(-n // LINKS_PER_FILE))
+        n = max(1, e.count())
+        # A star forest: no node has two links, and no root has a link to a smaller node.
+        if e.groupBy("u").count().where("count > 1").isEmpty() and e.join(e.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    raise RuntimeError("components did not settle; raise rounds")
 
 
 #: Ids up to so many are broadcast to a scan; more are joined by shuffle.
@@ -104,13 +104,13 @@ def with_ids(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, "left_semi")
 
 
-def bucket_links(rows: DataFrame, may: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Links (a, b) that connect whatever similar pairs of members the buckets hold.
+def bucket_components(rows: DataFrame, may: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, root): connected components of all similar pairs that share a bucket; members without a link are left out.
 
     ``rows`` has (key, id, x): bucket, member, and what the cheap test ``may`` reads of a member;
     ``verify`` keeps the similar ones of distinct pairs (a, b). Every member is paired with its bucket's leader
     (a pre-aggregated minimum by hash); small buckets are paired fully. What larger ones still lack are
-    pairs between components that the links so far leave apart. So rounds follow, with 4 times as
+    pairs between components that the links so far leave apart. So rounds follow, with 8 times as
     many further leaders each (members below a rising hash threshold), which meet members of other components
     only. They end when each bucket is one component or has had all its pairs tested: none is capped.
     """
@@ -121,23 +121,35 @@ def bucket_links(rows: DataFrame, may: Callable[[Column, Column], Column], verif
     first = shared.where((F.col("id") != F.col("lead")) & may(F.col("x"), F.col("lead_x"))).select(*pair(F.col("id"), F.col("lead")))
     few = shared.where(f"n > 2 and n <= {SMALL}").groupBy("key").agg(F.collect_list(F.struct("id", "x")).alias("m"))
     few = few.select(F.explode("m").alias("p"), "m").select("p", F.explode("m").alias("q")).where("p.id < q.id").where(may(F.col("p.x"), F.col("q.x")))
-    found = store(verify(store(first.union(few.select(*pair(F.col("p.id"), F.col("q.id")))).distinct(), "pairs")), "links")
-    large = shared.where(f"n > {SMALL}").select("key", "id", "x", "n", u.alias("u"))
-    done, width = 0, 4
+    found = verify(store(first.union(few.select(*pair(F.col("p.id"), F.col("q.id")))).distinct(), "pairs"))
+    comp = connected_components(store(found, "links"))
+    large = shared.where(f"n > {SMALL}").select("key", "id", "x", "n", u.alias("u"), F.col("id").alias("root"))
+    done, width, renamed = 0, 8, comp
     while True:
-        comp = connected_components(found)
-        d = large.where(F.col("n") > done).join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        apart = d.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-        d = store(d.join(apart, "key", "left_semi"), "open")
-        if d.isEmpty():
-            return found
+        if renamed is not None:
+            new = renamed.select(F.col("node").alias("root"), F.col("root").alias("new_root"))
+            large = large.join(new, "root", "left").withColumn("root", F.coalesce("new_root", "root")).drop("new_root")
+        apart = large.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("n").alias("n"))
+        large = store(large.join(apart.where(f"lo < hi and n > {done}").select("key"), "key", "left_semi"), "open")
+        if large.isEmpty():
+            return comp
         place = F.col("u") * F.col("n")
-        leaders = d.where((place >= done) & (place < done + width)).select(
+        leaders = large.where((place >= done) & (place < done + width)).select(
             "key", F.col("id").alias("lead"), F.col("x").alias("lead_x"), F.col("root").alias("lead_root"), F.col("u").alias("lead_u"))
-        more = d.join(leaders, "key").where("u > lead_u and root <> lead_root").where(may(F.col("x"), F.col("lead_x")))
-        more = store(more.select(*pair(F.col("id"), F.col("lead"))).distinct(), "pairs")
-        found = store(found.union(verify(more)).distinct(), "links")
-        done, width = done + width, width * 4
+        more = large.join(leaders, "key").where("u > lead_u and root <> lead_root").where(may(F.col("x"), F.col("lead_x")))
+        more = more.select(*pair(F.col("id"), F.col("lead")), "root", "lead_root").dropDuplicates(["a", "b"])
+        more = store(more, "pairs")
+        renamed = None
+        if not more.isEmpty():
+            # New links join components, so the next components are those of the roots.
+            joined = store(more.join(verify(more.select("a", "b")), ["a", "b"], "left_semi").select(
+                F.col("root").alias("a"), F.col("lead_root").alias("b")).distinct(), "links")
+            if not joined.isEmpty():
+                renamed = connected_components(joined)
+                moved = comp.join(renamed.select(F.col("node").alias("root"), F.col("root").alias("new_root")), "root", "left")
+                known = moved.select("node", F.coalesce("new_root", "root").alias("root"))
+                comp = store(known.union(renamed.join(comp.select("node"), "node", "left_anti").select("node", "root")), "components")
+        done, width = done + width, width * 8
 
 
 def bounded_sample(df: DataFrame, key: str, n: int) -> DataFrame:
