@@ -29,9 +29,9 @@ from wardlens.llm.common import store
 THRESHOLD, DIGIT = 50, 20
 REACH = THRESHOLD - DIGIT + 1
 #: Windows worked on at once, and records that a map task settles among themselves at once.
-CHUNK, HELD = 1 << 18, 800_000
+CHUNK, HELD = 1 << 18, 250_000
 #: Bytes of text whose records one reducing group gets, about.
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 6 << 20
 _RNG = np.random.default_rng(20_01)
 _BYTE = _RNG.integers(0, 1 << 64, 256, dtype=np.uint64)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -218,7 +218,8 @@ def _pass1(buckets: int):
             pieces, size = [], 0
 
         for b in batches:
-            for doc, fp, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for k in range(b.num_rows):  # one text at a time becomes a Python object
+                doc, fp, text = (c[k].as_py() for c in b.columns)
                 raw = text.encode("utf-8", "surrogatepass")
                 for at in range(0, max(0, len(raw) - THRESHOLD + 1), CHUNK):
                     pieces.append((doc, fp, at, raw[at:at + CHUNK + THRESHOLD - 1]))
@@ -281,9 +282,13 @@ def _reduce(last: bool):
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        done, out = [unpack(r) for r in rows if r["kind"] == 1], []
+        bucket, done, out = rows[0]["bucket"], [unpack(r) for r in rows if r["kind"] == 1], []
         if parts := [r for r in rows if r["kind"] == 0]:
-            repeated, rest, contested = settle((_windows(parts) if last else Records.join([unpack(r) for r in parts])).order())
+            records = _windows(parts) if last else Records.join([unpack(r) for r in parts])
+            del parts, rows
+            records = records.order()
+            repeated, rest, contested = settle(records)
+            del records
             done.append(repeated)
             if not last:
                 c = rest.take(contested)
@@ -293,7 +298,7 @@ def _reduce(last: bool):
             out.append((doc, fp, np.zeros(len(doc), np.int32), start, end))
         names, kinds = ("doc", "fp", "kind", "a", "b"), (np.int64, np.int64, np.int32, np.int64, np.int64)
         cols = {n: np.concatenate([o[k] for o in out]) if out else np.zeros(0, t) for k, (n, t) in enumerate(zip(names, kinds, strict=True))}
-        return pa.table(cols | {"bucket": np.full(len(cols["doc"]), rows[0]["bucket"], np.int32)})
+        return pa.table(cols | {"bucket": np.full(len(cols["doc"]), bucket, np.int32)})
 
     return run
 
@@ -302,9 +307,10 @@ def _finish(batches: Iterator[pa.RecordBatch], keep: list[str]) -> Iterator[pa.R
     """(..., text, spans) to (..., kept bytes, n_bytes, n_removed, spans)."""
     for b in batches:
         kept, size, gone, spans = [], [], [], []
-        for text, marks in zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
-            raw, runs = (text or "").encode("utf-8", "surrogatepass"), []
-            for s, e in sorted((m["a"], m["b"]) for m in marks or []):
+        texts, marks = b.column(b.num_columns - 2), b.column(b.num_columns - 1)
+        for k in range(b.num_rows):
+            raw, runs, mark = (texts[k].as_py() or "").encode("utf-8", "surrogatepass"), [], marks[k].values
+            for s, e in sorted(zip(mark.field("a").to_pylist(), mark.field("b").to_pylist(), strict=True)) if mark is not None else ():
                 if runs and s <= runs[-1][1]:
                     runs[-1][1] = max(runs[-1][1], e)
                 else:
