@@ -32,6 +32,8 @@ def _scan(d: DataFrame, keys: list[str], t: str, cols: list[str], positional: bo
     Needs ``_seg``.
     """
     part = [*keys, "_seg"]
+    # An input dealt out by the key alone would satisfy the windows below and keep a hot key in one task.
+    d = d.repartition(*part)
     if positional:
         d = d.withColumn("_rn", F.row_number().over(W.partitionBy(*part).orderBy(t)))
         pos = F.col("_rn")
@@ -164,6 +166,7 @@ def trapezoid(df: DataFrame, x: str = "hours", y: str = "value", keys=("encounte
     keys = list(keys)
     d = _seg(df.select(*keys, x, y), x, seg_width)
     part = [*keys, "_seg"]
+    d = d.repartition(*part)  # not by the keys alone, which would keep a hot one in one task
     w = W.partitionBy(*part).orderBy(x, y)  # ties in x are ordered by y, so pairs are deterministic
     d = d.withColumn("_rn", F.row_number().over(w)).withColumn("_px", F.lag(x).over(w)).withColumn("_py", F.lag(y).over(w))
     last = d.groupBy(*part).agg(F.max_by(F.struct(x, y), F.col("_rn")).alias("_l"))

@@ -746,14 +746,14 @@ register("blood_gas_bins", with_ctes(_pivot_sql(
     MT.BLOOD_GAS_LABS, t="rhour_b"), "eid", "labs_c", extra={"rb": _REBASE_SQL}))(_blood_gas)
 
 
-def _report(spark, sf):
+def _report(spark, sf, lo=None, hi=None):
     co = cohort(spark, sf)
     cp = MT.add_continuous_metric(co, MT.CardiacPower).compute()
     rv = MT.add_continuous_metric(co, MT.VentricularStrokeWorkIndex).compute()
-    return MT.metric_report(co, [cp, rv]).withColumn("value", r6("value"))
+    return MT.metric_report(co, [cp, rv], lo=lo, hi=hi).withColumn("value", r6("value"))
 
 
-register("metric_report", with_ctes("""
+_REPORT_SQL = """
 SELECT m.death, a.encounter_id, a.btime, a.name, round(avg(a.value), 6) AS value FROM (
   SELECT s.encounter_id, s.name, s.value, CAST(floor((s.time_s - CAST(o."offset" AS BIGINT) * 86400) / 43200.0) * 12 AS BIGINT) AS btime,
     s.time_s - CAST(o."offset" AS BIGINT) * 86400 AS t
@@ -761,10 +761,13 @@ SELECT m.death, a.encounter_id, a.btime, a.name, round(avg(a.value), 6) AS value
   LEFT JOIN offs o ON s.encounter_id = o.encounter_id) a
 LEFT JOIN (SELECT DISTINCT encounter_id, death_during_encounter AS death FROM einfo) m ON a.encounter_id = m.encounter_id
 WHERE a.value IS NOT NULL AND a.t IS NOT NULL
-GROUP BY 1, 2, 3, 4 HAVING a.btime BETWEEN -1 AND 200""", "eid", "einfo", "offs", "flow_c", extra={
-    **_CP_CTES, **_RV_CTES,
+GROUP BY 1, 2, 3, 4"""
+_REPORT_CTES = {**_CP_CTES, **_RV_CTES,
     "cp3x": "SELECT encounter_id, time_s, 'Cardiac Power' AS name, \"Cardiac Power\" AS value FROM cp3",
-    "rv3x": "SELECT encounter_id, time_s, 'RVSWI' AS name, \"RVSWI\" AS value FROM rv3"}))(_report)
+    "rv3x": "SELECT encounter_id, time_s, 'RVSWI' AS name, \"RVSWI\" AS value FROM rv3"}
+register("metric_report", with_ctes(_REPORT_SQL, "eid", "einfo", "offs", "flow_c", extra=_REPORT_CTES))(_report)
+register("metric_report_range", with_ctes(_REPORT_SQL + " HAVING a.btime BETWEEN -1 AND 200", "eid", "einfo", "offs", "flow_c", extra=_REPORT_CTES))(
+    lambda spark, sf: _report(spark, sf, -1, 200))
 
 # --- sources and sinks round trips (SRC-02/03/07, SNK-01..05) ---------------------------------------------------
 
@@ -785,12 +788,12 @@ import os  # noqa: E402
 
 def _partition_roundtrip(spark, sf):
     p = ds(spark, sf).labs.partition(_scratch(spark, "part"))
-    return spark.read.parquet(p).where(F.col("lab_component_name") == "HEMOGLOBIN")  # partition pruning
+    return spark.read.parquet(p)
 
 
 register("partition_roundtrip", with_ctes("""
 SELECT encounter_id, lab_result_value, lab_result_unit, lab_collection_days_since_birth, lab_collection_time, loinc_code,
-  upper(lab_component_name) AS lab_component_name FROM labs_v WHERE upper(lab_component_name) = 'HEMOGLOBIN'""",
+  upper(lab_component_name) AS lab_component_name FROM labs_v""",
     extra={"__views__": ["labs"]}))(_partition_roundtrip)
 
 

@@ -84,12 +84,11 @@ class Metric:
         """SMP-01: all fetched rows of ``n`` encounters chosen by a seeded hash."""
         return SM.sample_ids(self.db_fetch(), n, seed)
 
-    def components(self, sample=None) -> DataFrame:
-        """Fetched signals, written once to the shared checkpoint folder: every later step
-        reads them several times (targets, references, grid), and a reliable checkpoint
-        keeps both the plan and the recomputation after an executor loss small."""
+    def components(self, sample=None, reread: bool = True) -> DataFrame:
+        """Fetched signals. Where later steps read them several times (targets, references, grid) they are
+        written once to the shared checkpoint folder; ``reread=False`` leaves them lazy."""
         c = self.db_sample(sample) if isinstance(sample, int) else self.db_fetch(encounter_id=sample)
-        return materialize(c)
+        return materialize(c) if reread else c
 
     def compute(self, sample=None, with_components: bool = False) -> DataFrame:
         raise NotImplementedError
@@ -140,6 +139,17 @@ def _long(df: DataFrame, cols, t: str = "hour") -> DataFrame:
     return TD.melt_tidy(df.select("encounter_id", t, *cols), t=t)
 
 
+#: Segment width of interpolation on hour grids: one day, as on second grids.
+GRID_SEGMENT_H = 24.0
+
+
+def _filled(g: DataFrame, cols: list[str], forward=()) -> DataFrame:
+    """``f_<col>``: the columns with interior gaps filled on the hour grid; the raw ones stay as they are."""
+    for c in cols:
+        g = g.withColumn(f"f_{c}", F.col(c))
+    return TS.interpolate(g, [f"f_{c}" for c in cols], t="hour", forward=list(forward), seg_width=GRID_SEGMENT_H)
+
+
 class OxygenContent(Metric):
     classname, shortname = "OxygenContent", "O2_content"
     # Required lab names.
@@ -182,9 +192,9 @@ class OxygenDelivery(Metric):
     def compute(self, sample=None, with_components: bool = False) -> DataFrame:
         """MET-05: DO2 = 10 * CCO * CaO2 and DO2_I = 10 * CCI * CaO2, long form."""
         g = self.get_components(sample)
-        g = TS.interpolate(g, ["CCO", "CCI", "CaO2"], t="hour", forward=["CaO2"])
-        g = g.withColumn("DO2", 10 * F.col("CCO") * F.col("CaO2")).withColumn("DO2_I", 10 * F.col("CCI") * F.col("CaO2"))
-        g = TS.interpolate(g, ["DO2", "DO2_I"], t="hour", forward=True)
+        g = _filled(g, ["CCO", "CCI", "CaO2"], forward=["f_CaO2"])
+        g = g.withColumn("DO2", 10 * F.col("f_CCO") * F.col("f_CaO2")).withColumn("DO2_I", 10 * F.col("f_CCI") * F.col("f_CaO2"))
+        g = TS.interpolate(g, ["DO2", "DO2_I"], t="hour", forward=True, seg_width=GRID_SEGMENT_H)
         cols = ["CCO", "CCI", "CaO2", "DO2", "DO2_I"] if with_components else ["DO2", "DO2_I"]
         return _long(g, cols).withColumn("time_s", F.round(F.col("hour") * HOUR_S).cast("bigint"))
 
@@ -208,10 +218,10 @@ class OxygenConsumption(Metric):
 
     def compute(self, sample=None, with_components: bool = False) -> DataFrame:
         """MET-06: VO2 = 10 * CCO * (CaO2 - CvO2), VO2_I with CCI, 1 h grid."""
-        g = TS.interpolate(self.prep(sample), ["CCO", "CCI", "CaO2", "CvO2"], t="hour")
-        cd = F.col("CaO2") - F.col("CvO2")
-        g = g.withColumn("VO2", 10 * F.col("CCO") * cd).withColumn("VO2_I", 10 * F.col("CCI") * cd)
-        g = TS.interpolate(g, ["VO2", "VO2_I"], t="hour", forward=True)
+        g = _filled(self.prep(sample), ["CCO", "CCI", "CaO2", "CvO2"])
+        cd = F.col("f_CaO2") - F.col("f_CvO2")
+        g = g.withColumn("VO2", 10 * F.col("f_CCO") * cd).withColumn("VO2_I", 10 * F.col("f_CCI") * cd)
+        g = TS.interpolate(g, ["VO2", "VO2_I"], t="hour", forward=True, seg_width=GRID_SEGMENT_H)
         cols = ["CCO", "CCI", "CaO2", "CvO2", "VO2", "VO2_I"] if with_components else ["VO2", "VO2_I"]
         return _long(g, cols).withColumn("time_s", (F.col("hour") * HOUR_S).cast("bigint"))
 
@@ -225,15 +235,16 @@ class CardiacPower(Metric):
 
     def prep(self, sample=None) -> DataFrame:
         """Renamed signals on their own time grid; CVP above its upper limit dropped (FIL-07)."""
-        c = self.components(sample)
+        c = self.components(sample, reread=False)
         c = c.where((F.col("name") != "CVP") | (F.col("value") <= self.limits["CVP"][1]))
         return TD.pivot_tidy(c, self.GRID)
 
     def compute(self, sample=None, with_components: bool = False) -> DataFrame:
         """MET-07: (MAP - CVP) * CCO / 451, MAP and CVP interior-filled, result interior-filled."""
-        g = TS.interpolate(self.prep(sample), ["A-LINE MAP", "CVP"])
-        g = g.withColumn("Cardiac Power", (F.col("`A-LINE MAP`") - F.col("CVP")) * F.col("CCO") / 451.0)
-        g = TS.interpolate(g, ["Cardiac Power"])
+        g = self.prep(sample).withColumn("f_map", F.col("`A-LINE MAP`")).withColumn("f_cvp", F.col("CVP"))
+        g = TS.interpolate(g, ["f_map", "f_cvp"])
+        g = g.withColumn("Cardiac Power", (F.col("f_map") - F.col("f_cvp")) * F.col("CCO") / 451.0)
+        g = TS.interpolate(g, ["Cardiac Power"]).drop("f_map", "f_cvp")
         if with_components:
             return g
         return g.select("encounter_id", "time_s", F.col("`Cardiac Power`").alias("value"),
@@ -274,7 +285,7 @@ class Pulsatility(Metric):
 
     def compute(self, sample=None, with_components: bool = False) -> DataFrame:
         """MET-09: SBP - DBP per reading time."""
-        g = TD.pivot_tidy(self.components(sample), ["SBP", "DBP"]).withColumn("pulsatility", F.col("SBP") - F.col("DBP"))
+        g = TD.pivot_tidy(self.components(sample, reread=False), ["SBP", "DBP"]).withColumn("pulsatility", F.col("SBP") - F.col("DBP"))
         if with_components:
             return g
         return g.select("encounter_id", "time_s", F.col("pulsatility").alias("value"))
@@ -321,15 +332,17 @@ def blood_gas_bins(co, names=BLOOD_GAS_LABS, freq_h: int = 8) -> DataFrame:
     return TD.pivot_tidy(g, list(names), t="rhour_b")
 
 
-def metric_report(co, frames, on: str = "q12h", lo: int = -1, hi: int = 200) -> DataFrame:
+def metric_report(co, frames, on: str = "q12h", lo: int | None = None, hi: int | None = None) -> DataFrame:
     """MET-11: align metrics on the procedure day, union, rebin, join the outcome, mean per
-    (death, encounter, bin, name), keep bins in [lo, hi]."""
+    (death, encounter, bin, name). All bins are kept unless ``lo`` or ``hi`` is given."""
     al = [co.align_metric(f.select("encounter_id", "time_s", "name", "value")) for f in frames]
     u = reduce(lambda a, b: a.unionByName(b), al)
     u = TD.rebin_time(u, on).dropna("any")
     u = u.join(co.mortality, "encounter_id", "left")
     m = u.groupBy("death", "encounter_id", "btime", "name").agg(F.avg("value").alias("value"))
-    return m.where(F.col("btime").between(lo, hi))
+    for bound, test in ((lo, F.col("btime") >= F.lit(lo)), (hi, F.col("btime") <= F.lit(hi))):
+        m = m if bound is None else m.where(test)
+    return m
 
 
 def add_continuous_metric(co, metric_cls) -> Metric:

@@ -118,13 +118,13 @@ def post_op_delirium(co, detail: str = "full", clean: bool = True) -> DataFrame:
             _any((F.col("value") == DELIRIOUS) & (F.col("time_s") <= 3 * DAY_S)).alias("post_op_delirium"))
     if detail == "full":
         return c.withColumn("value", first_token("value", "-"))
-    raise ValueError("for detail use either 'full', '72hr', or 'encounter'")
+    raise ValueError(f"unknown detail {detail!r}: encounter, 72hr and full exist")
 
 
 # --- CL-12..20 -------------------------------------------------------------------------------------
 def or_days(co) -> DataFrame:
     return _room_rows(co, CS.OR_ROOM_CODES).select(
-        "encounter_id", F.col("days_from_dob_procstart").alias("or_day"), "order_name")
+        "encounter_id", F.col("days_from_dob_procstart").alias("or_day"), "order_name").orderBy("encounter_id", "or_day", "order_name")
 
 
 def reexploration_for_bleed(co) -> DataFrame:

@@ -43,10 +43,16 @@ def filter_isin(df: DataFrame, **filters) -> DataFrame:
 def clean_days(df: DataFrame) -> DataFrame:
     """FIL-02: keep all-digit text in day columns, then type them as INT."""
     for c in day_columns(df.columns):
-        df = df.where(is_all_digits(F.col(c).cast("string"))).withColumn(c, F.col(c).cast("string").cast("int"))
+        # digits beyond INT become null and go too, instead of failing the job
+        df = df.where(is_all_digits(F.col(c).cast("string"))).withColumn(c, F.col(c).cast("string").try_cast("int")).where(F.col(c).isNotNull())
     return df
 
 
+def rebalanced(df: DataFrame, column: str) -> DataFrame:
+    """Rows of a key together in few tasks, but a key that holds too much is split over several (AQE)."""
+    return df.sparkSession.sql(f"SELECT /*+ REBALANCE(`{column}`) */ * FROM {{df}}", df=df)
+
+
 class Table:
     """One clinical extract: a lazy scan plus selection helpers."""
 
@@ -103,8 +109,7 @@ class Table:
         """SNK-01: Parquet copy partitioned on an upper-cased text key."""
         column = column or self.search_col
         out = self.df.withColumn(column, F.upper(F.col(column).cast("string")))
-        # one shuffle so each key value lands in few files instead of one per input split
-        (out.repartition(column).write.partitionBy(column)
+        (rebalanced(out, column).write.partitionBy(column)
             .mode("overwrite" if overwrite else "errorifexists").parquet(path))
         return path
 
@@ -187,12 +192,25 @@ class Dataset:
 
 
 def _exists_as(spark: SparkSession, path: str, fmt: str):
+    """The data at ``path``, or None where there is no such path; any other fault is raised."""
     try:
-        return spark.read.format(fmt).load(path) if fmt != "csv" else None
-    except AnalysisException:
+        return spark.read.format(fmt).load(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 
+def conform(df: DataFrame, schema) -> DataFrame:
+    """Declared columns by name, in declared types (what does not parse is null), blank text as ``''``.
+
+    The same for every form of a table, so that rows do not depend on which one was read. A
+    missing column raises.
+    """
+    return df.select(*[F.coalesce(F.col(f.name).cast("string"), F.lit("")).alias(f.name) if f.dataType.typeName() == "string"
+                       else F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
 def read_table(spark: SparkSession, csv_path: str, meta: TableMeta) -> DataFrame:
     """SRC-01..03: choose the cached Parquet form when present, else scan the CSV.
 
@@ -203,15 +221,13 @@ def read_table(spark: SparkSession, csv_path: str, meta: TableMeta) -> DataFrame
     for ext in (".part", ".parquet"):
         df = _exists_as(spark, stem + ext, "parquet")
         if df is not None:
-            return df
+            return conform(df, meta.schema)
     return read_csv(spark, csv_path, meta)
 
 
 def read_csv(spark: SparkSession, path: str, meta: TableMeta) -> DataFrame:
-    df = spark.read.schema(meta.schema).option("header", True).csv(path)
-    strings = [f.name for f in meta.schema.fields if f.dataType.typeName() == "string"]
-    return df.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) if c in strings else F.col(c)
-                       for c in df.columns])
+    """Columns are bound by header name; quotes inside quoted text are doubled."""
+    return conform(spark.read.option("header", True).option("escape", '"').csv(path), meta.schema)
 
 
 def load_table(spark: SparkSession, data_dir: str, file_name: str, fmt: str = "csv", **options) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardlens.functions import codesets as CS
+from wardlens.sources.dataset import conform, rebalanced
 from wardlens.sources.schemas import LAYOUTS
 
 # The flowsheet ETL schema (ids and day as numbers, the rest text).
@@ -23,7 +24,7 @@ FLOWSHEET_ETL_SCHEMA = T.StructType([
 
 def csv_writer(df: DataFrame):
     """CSV writer that keeps text exactly (Spark trims leading/trailing blanks by default)."""
-    return (df.write.option("header", True).option("ignoreLeadingWhiteSpace", False)
+    return (df.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
               .option("ignoreTrailingWhiteSpace", False))
 
 
@@ -37,9 +38,8 @@ def clean_flowsheet(df: DataFrame) -> DataFrame:
 
 def preprocess_flowsheet(spark: SparkSession, data_source: str, output_path: str) -> str:
     """SNK-02: flowsheet CSV -> Parquet partitioned by display name (overwrite)."""
-    df = spark.read.schema(FLOWSHEET_ETL_SCHEMA).option("header", True).csv(data_source)
-    # one shuffle on the partition key so each name becomes few files, not one per input split
-    clean_flowsheet(df).repartition("display_name").write.partitionBy("display_name").mode("overwrite").parquet(output_path)
+    df = conform(spark.read.option("header", True).option("escape", '"').csv(data_source), FLOWSHEET_ETL_SCHEMA)
+    rebalanced(clean_flowsheet(df), "display_name").write.partitionBy("display_name").mode("overwrite").parquet(output_path)
     return output_path
 
 
