@@ -65,6 +65,6 @@ def sample_ids(df: DataFrame, n: int, seed: int = 42, key: str = "encounter_id")
 
     Only the ``n`` smallest hashes travel to one task (a top-k, bounded by ``n``).
     """
-    ids = df.select(key).distinct().withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)))
+    ids = df.select(key).distinct().withColumn("_h", F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))))
     chosen = ids.orderBy("_h", key).limit(n).select(key)
     return df.join(chosen, key, "left_semi")

@@ -534,7 +534,9 @@ SELECT lab_component_name, loinc_code, count(*) AS n FROM labs_c GROUP BY 1, 2
 ORDER BY n DESC, lab_component_name, loinc_code LIMIT 50""", "labs_c"))(
     lambda spark, sf: SM.top_counts(ds(spark, sf).labs.sel(), ["lab_component_name", "loinc_code"], 50))
 
-register("sample_encounters")(
+_SAMPLE_SQL = _COHORT_LABS(["CREATININE SERUM"])
+register("sample_encounters", with_ctes(f"""SELECT * FROM ({_SAMPLE_SQL}) x WHERE encounter_id IN (
+  SELECT encounter_id FROM (SELECT DISTINCT encounter_id FROM ({_SAMPLE_SQL}) y) z ORDER BY md5(encounter_id || '|42'), encounter_id LIMIT 20)""", "eid", "labs_c"))(
     lambda spark, sf: SM.sample_ids(cohort(spark, sf).labs(["CREATININE SERUM"]), 20, seed=42))
 
 
