@@ -29,7 +29,7 @@ from wardlens.llm.common import store
 THRESHOLD, DIGIT = 50, 20
 REACH = THRESHOLD - DIGIT + 1
 #: Windows worked on at once, and records that a map task settles among themselves at once.
-CHUNK, HELD = 1 << 18, 250_000
+CHUNK, HELD = 1 << 18, 200_000
 #: Bytes of text whose records one reducing group gets, about.
 BUCKET_BYTES = 6 << 20
 _RNG = np.random.default_rng(20_01)
@@ -254,7 +254,7 @@ def _pass2(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows.append((int(bucket[part[0]]), 0, np.int64(doc[k].as_py()).tobytes(), np.int64(fp[k].as_py()).tobytes(), b"", b"", b"",
                              p.astype(np.int64).tobytes(), q.astype(np.int64).tobytes(), cut))
                 size += len(cut)
-            if size > 8 << 20:
+            if size > 2 << 20:
                 yield _batch(rows)
                 rows, size = [], 0
         if rows:
