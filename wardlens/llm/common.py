@@ -114,8 +114,11 @@ def bucket_components(rows: DataFrame, may: Callable[[Column, Column], Column],
     many further leaders each (members below a rising hash threshold), which meet members of other components
     only. They end when each bucket is one component or has had all its pairs tested: none is capped.
     """
-    u = F.shiftrightunsigned(F.xxhash64("id", F.lit(17)), 11) / F.lit(2.0**53)
-    lead = rows.groupBy("key").agg(F.min(F.struct(u.alias("u"), "id", "x")).alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    u = F.shiftrightunsigned(F.xxhash64("id", "key"), 11) / F.lit(2.0**53)
+    # Most keys are held by one member; they leave on their count alone, before members are dealt out.
+    many = store(rows.groupBy("key").count().where("count > 1").select("key"), "keys")
+    rows = store(with_ids(rows, many, "key"), "rows")
+    lead = rows.groupBy("key").agg(F.min(F.struct(u.alias("u"), "id", "x")).alias("m"), F.count(F.lit(1)).alias("n"))
     shared = store(rows.join(lead.select("key", "n", F.col("m.id").alias("lead"), F.col("m.x").alias("lead_x")), "key"), "buckets")
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     first = shared.where((F.col("id") != F.col("lead")) & may(F.col("x"), F.col("lead_x"))).select(*pair(F.col("id"), F.col("lead")))
