@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from wardlens.llm.common import hash60, n_words, own_name, store
 
 #: Hash bits looked at per refinement, and refinements; together all 60 bits.
-BITS, LEVELS = 15, 4
+BITS, LEVELS = 12, 5
 WEIGHTS = (3, 1, 2)
 
 
