@@ -66,6 +66,16 @@ def own_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def where_computed(df: DataFrame, condition: Column) -> DataFrame:
+    """Rows that meet a condition on costly computed columns.
+
+    A plain filter would be moved below the projections, with the columns' expressions copied into it
+    and computed again; it does not move past a column that depends on the task.
+    """
+    part = own_name(df, "part_")
+    return df.withColumn(part, F.spark_partition_id()).where(condition & (F.col(part) >= 0)).drop(part)
+
+
 #: Links to a file of the component rounds, so that small graphs do not become hundreds of tiny files.
 LINKS_PER_FILE = 100_000
 
