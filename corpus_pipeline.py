@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlens.llm import decontam, minhash, mixing, quality_rules, sharding
-from wardlens.llm.common import read_table, store
+from wardlens.llm.common import read_table, store, where_computed
 
 #: Rules learned from labels, signatures and hash thresholds have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
@@ -19,7 +19,7 @@ ORACLE_SQL = None
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base checks nor a learned rule rejects."""
     rules = quality_rules.learn_rules(quality_rules.training_rows(docs, read_table(spark, sf_dir, "labels")))
-    return quality_rules.apply_rules(docs, rules).where("kept").select(*docs.columns)
+    return where_computed(quality_rules.apply_rules(docs, rules), F.col("kept")).select(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
