@@ -36,7 +36,9 @@ def table_one(t1: DataFrame, numeric, categorical, key: str = "encounter_id", gr
         counts = long.where(F.col("level").isNotNull()).groupBy("group", "variable", "level").agg(F.count(F.lit(1)).alias("n"))
         tot = long.groupBy("group", "variable").agg(F.count("level").alias("_tot"),
                                                     (F.count(F.lit(1)) - F.count("level")).alias("missing"))
-        out.append(counts.join(tot, ["group", "variable"]).select(
+        tot = tot.withColumnsRenamed({"group": "_group", "variable": "_variable"})  # null is a group, too
+        same = F.col("group").eqNullSafe(F.col("_group")) & (F.col("variable") == F.col("_variable"))
+        out.append(counts.join(tot, same).select(
             "group", "variable", "level", "n", "missing", F.lit(None).cast("double").alias("mean"),
             F.lit(None).cast("double").alias("sd"), (F.col("n") * 100.0 / F.col("_tot")).alias("pct")))
     cols = ["group", "variable", "level", "n", "missing", "mean", "sd", "pct"]

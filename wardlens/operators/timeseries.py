@@ -45,12 +45,13 @@ def _scan(d: DataFrame, keys: list[str], t: str, cols: list[str], positional: bo
         wf = W.partitionBy(*part).orderBy(F.col(t).asc()).rangeBetween(W.unboundedPreceding, W.currentRow)
         wb = W.partitionBy(*part).orderBy(F.col(t).desc()).rangeBetween(W.unboundedPreceding, W.currentRow)
     aggs = [F.count(F.lit(1)).alias("_n")] if positional else []
+    at = {c: F.when(F.col(c).isNotNull(), pos) for c in cols}
+    # All columns of one direction in one step, so that they share one window and one sort.
+    for w, v, p in ((wf, "pv", "pp"), (wb, "nv", "np")):
+        d = d.withColumns({f"{c}__{v}": F.last(c, True).over(w) for c in cols} | {f"{c}__{p}": F.last(at[c], True).over(w) for c in cols})
     for c in cols:
-        p = F.when(F.col(c).isNotNull(), pos)
-        d = (d.withColumn(f"{c}__pv", F.last(c, True).over(wf)).withColumn(f"{c}__pp", F.last(p, True).over(wf))
-              .withColumn(f"{c}__nv", F.last(c, True).over(wb)).withColumn(f"{c}__np", F.last(p, True).over(wb)))
-        aggs += [F.max_by(c, p).alias(f"{c}__lv"), F.max(p).alias(f"{c}__lp"),
-                 F.min_by(c, p).alias(f"{c}__fv"), F.min(p).alias(f"{c}__fp")]
+        aggs += [F.max_by(c, at[c]).alias(f"{c}__lv"), F.max(at[c]).alias(f"{c}__lp"),
+                 F.min_by(c, at[c]).alias(f"{c}__fv"), F.min(at[c]).alias(f"{c}__fp")]
     summary = d.groupBy(*part).agg(*aggs)
     sf = W.partitionBy(*keys).orderBy(F.col("_seg").asc()).rowsBetween(W.unboundedPreceding, -1)
     sb = W.partitionBy(*keys).orderBy(F.col("_seg").desc()).rowsBetween(W.unboundedPreceding, -1)

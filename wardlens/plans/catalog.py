@@ -540,14 +540,20 @@ register("sample_encounters", with_ctes(f"""SELECT * FROM ({_SAMPLE_SQL}) x WHER
     lambda spark, sf: SM.sample_ids(cohort(spark, sf).labs(["CREATININE SERUM"]), 20, seed=42))
 
 
-def _table_one(spark, sf):
+def _table_one(spark, sf, categorical=("gender", "death"), group=None):
     co = cohort(spark, sf)
     t1 = SM.spine_join([co.age, co.gender, co.bmi, co.mortality, co.icu_los])
-    t = SM.table_one(t1, ["age", "bmi", "icu_los"], ["gender", "death"])
+    t = SM.table_one(t1, ["age", "bmi", "icu_los"], list(categorical), group=group)
     return t.select("group", "variable", "level", "n", "missing", r6("mean").alias("mean"), r6("sd").alias("sd"),
                     r6("pct").alias("pct"))
 
 
+_T1_SQL = """SELECT s.encounter_id, a.age, g.gender, b.bmi, d.death, i.icu_los FROM (
+  SELECT encounter_id FROM v_age UNION SELECT encounter_id FROM v_gender UNION SELECT encounter_id FROM v_bmi
+  UNION SELECT encounter_id FROM v_death UNION SELECT encounter_id FROM v_icu) s
+LEFT JOIN v_age a ON s.encounter_id = a.encounter_id LEFT JOIN v_gender g ON s.encounter_id = g.encounter_id
+LEFT JOIN v_bmi b ON s.encounter_id = b.encounter_id LEFT JOIN v_death d ON s.encounter_id = d.encounter_id
+LEFT JOIN v_icu i ON s.encounter_id = i.encounter_id"""
 register("table_one", with_ctes("""
 SELECT 'overall' AS "group", variable, CAST(NULL AS VARCHAR) AS level, count(v) AS n, count(*) - count(v) AS missing,
   round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS sd, CAST(NULL AS DOUBLE) AS pct FROM (
@@ -557,15 +563,23 @@ UNION ALL
 SELECT 'overall', c.variable, c.level, c.n, t.missing, NULL, NULL, round(c.n * 100.0 / t.tot, 6) FROM (
   SELECT variable, level, count(*) AS n FROM cat WHERE level IS NOT NULL GROUP BY 1, 2) c
 JOIN (SELECT variable, count(level) AS tot, count(*) - count(level) AS missing FROM cat GROUP BY 1) t ON c.variable = t.variable""",
-    *_VAR_ALL, extra={**_VAR_SQL, "t1": """SELECT s.encounter_id, a.age, g.gender, b.bmi, d.death, i.icu_los FROM (
-  SELECT encounter_id FROM v_age UNION SELECT encounter_id FROM v_gender UNION SELECT encounter_id FROM v_bmi
-  UNION SELECT encounter_id FROM v_death UNION SELECT encounter_id FROM v_icu) s
-LEFT JOIN v_age a ON s.encounter_id = a.encounter_id LEFT JOIN v_gender g ON s.encounter_id = g.encounter_id
-LEFT JOIN v_bmi b ON s.encounter_id = b.encounter_id LEFT JOIN v_death d ON s.encounter_id = d.encounter_id
-LEFT JOIN v_icu i ON s.encounter_id = i.encounter_id""",
+    *_VAR_ALL, extra={**_VAR_SQL, "t1": _T1_SQL,
     "cat": "SELECT 'gender' AS variable, gender AS level FROM t1 UNION ALL SELECT 'death', CAST(death AS VARCHAR) FROM t1"}))(
     _table_one)
 
+register("table_one_by_death", with_ctes("""
+SELECT "group", variable, CAST(NULL AS VARCHAR) AS level, count(v) AS n, count(*) - count(v) AS missing,
+  round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS sd, CAST(NULL AS DOUBLE) AS pct FROM (
+  SELECT CAST(death AS VARCHAR) AS "group", 'age' AS variable, CAST(age AS DOUBLE) AS v FROM t1
+  UNION ALL SELECT CAST(death AS VARCHAR), 'bmi', bmi FROM t1
+  UNION ALL SELECT CAST(death AS VARCHAR), 'icu_los', CAST(icu_los AS DOUBLE) FROM t1) n GROUP BY 1, 2
+UNION ALL
+SELECT g, 'gender', gender, count(*), any_value(missing), NULL, NULL, round(count(*) * 100.0 / any_value(tot), 6) FROM (
+  SELECT CAST(death AS VARCHAR) AS g, gender, count(gender) OVER (PARTITION BY death) AS tot,
+    count(*) OVER (PARTITION BY death) - count(gender) OVER (PARTITION BY death) AS missing FROM t1) c
+WHERE gender IS NOT NULL GROUP BY 1, 3""", *_VAR_ALL, extra={**_VAR_SQL, "t1": _T1_SQL}))(
+    lambda spark, sf: _table_one(spark, sf, ["gender"], "death"))
+
 # --- continuous metrics (MET-01..11) -----------------------------------------------------------------------------
 
 from wardlens.plans import metrics as MT  # noqa: E402
@@ -656,19 +670,20 @@ def _do2(spark, sf):
 
 
 _DO = MT.OxygenDelivery
+_DO_CTES = {
+    "comp": _metric_comp_sql(_DO.REQUIRES["labs"], _DO.REQUIRES["flowsheet"], _DO.RENAME),
+    "ca": o2_sql("SELECT * FROM comp WHERE name LIKE '%O2SAT ARTERIAL%'", _HGB, "SELECT * FROM comp WHERE name LIKE '%PO2 ARTERIAL%'", "CaO2"),
+    "rw": "SELECT encounter_id, time_s, name, value FROM ca UNION ALL SELECT encounter_id, time_s, name, value FROM comp WHERE name IN ('CCO', 'CCI')",
+    "kp": "SELECT encounter_id FROM rw GROUP BY 1 HAVING bool_or(name LIKE '%CC%') AND bool_or(name = 'CaO2')",
+    "grid": _pivot_sql("SELECT encounter_id, round_even((time_s / 86400.0) * 24.0, 1) AS hour, name, value FROM rw "
+                       "WHERE value IS NOT NULL AND encounter_id IN (SELECT encounter_id FROM kp)", ["CCO", "CCI", "CaO2"], t="hour", rnd=False),
+    "f1": interp_sql("SELECT * FROM grid", ["CCO", "CCI", "CaO2"], "hour", forward=("CaO2",)),
+    "f2": 'SELECT encounter_id, hour, 10 * "CCO" * "CaO2" AS "DO2", 10 * "CCI" * "CaO2" AS "DO2_I" FROM f1',
+    "f3": interp_sql("SELECT * FROM f2", ["DO2", "DO2_I"], "hour", forward=("DO2", "DO2_I")),
+}
 register("do2", with_ctes(
     _long_sql("SELECT * FROM f3", ["DO2", "DO2_I"], extra=", CAST(round(hour * 3600) AS BIGINT) AS time_s"),
-    "eid", "labs_c", "flow_c", extra={
-        "comp": _metric_comp_sql(_DO.REQUIRES["labs"], _DO.REQUIRES["flowsheet"], _DO.RENAME),
-        "ca": o2_sql("SELECT * FROM comp WHERE name LIKE '%O2SAT ARTERIAL%'", _HGB, "SELECT * FROM comp WHERE name LIKE '%PO2 ARTERIAL%'", "CaO2"),
-        "rw": "SELECT encounter_id, time_s, name, value FROM ca UNION ALL SELECT encounter_id, time_s, name, value FROM comp WHERE name IN ('CCO', 'CCI')",
-        "kp": "SELECT encounter_id FROM rw GROUP BY 1 HAVING bool_or(name LIKE '%CC%') AND bool_or(name = 'CaO2')",
-        "grid": _pivot_sql("SELECT encounter_id, round_even((time_s / 86400.0) * 24.0, 1) AS hour, name, value FROM rw "
-                           "WHERE value IS NOT NULL AND encounter_id IN (SELECT encounter_id FROM kp)", ["CCO", "CCI", "CaO2"], t="hour", rnd=False),
-        "f1": interp_sql("SELECT * FROM grid", ["CCO", "CCI", "CaO2"], "hour", forward=("CaO2",)),
-        "f2": 'SELECT encounter_id, hour, 10 * "CCO" * "CaO2" AS "DO2", 10 * "CCI" * "CaO2" AS "DO2_I" FROM f1',
-        "f3": interp_sql("SELECT * FROM f2", ["DO2", "DO2_I"], "hour", forward=("DO2", "DO2_I")),
-    }))(_do2)
+    "eid", "labs_c", "flow_c", extra=_DO_CTES))(_do2)
 
 
 def _vo2(spark, sf):
@@ -676,21 +691,22 @@ def _vo2(spark, sf):
 
 
 _VO = MT.OxygenConsumption
+_VO_CTES = {
+    "comp": _metric_comp_sql(_VO.REQUIRES["labs"], _VO.REQUIRES["flowsheet"], _VO.RENAME),
+    "ca": o2_sql("SELECT * FROM comp WHERE name LIKE '%O2SAT ARTERIAL%'", _HGB, "SELECT * FROM comp WHERE name LIKE '%PO2 ARTERIAL%'", "CaO2"),
+    "cv": o2_sql("SELECT * FROM comp WHERE name IN ('O2SAT VENOUS MEASURED', 'SVO2 (%)')", _HGB, "SELECT * FROM comp WHERE name LIKE '%PO2 VENOUS%'", "CvO2"),
+    "rw": "SELECT encounter_id, time_s, name, value FROM ca UNION ALL SELECT encounter_id, time_s, name, value FROM cv "
+          "UNION ALL SELECT encounter_id, time_s, name, value FROM comp WHERE name IN ('CCO', 'CCI')",
+    "kp": "SELECT encounter_id FROM rw GROUP BY 1 HAVING bool_or(name LIKE '%CC%') AND bool_or(name = 'CaO2') AND bool_or(name = 'CvO2')",
+    "grid": _pivot_sql("SELECT encounter_id, CAST(round_even((time_s / 86400.0) * 24.0, 0) AS BIGINT) AS hour, name, value FROM rw "
+                       "WHERE value IS NOT NULL AND encounter_id IN (SELECT encounter_id FROM kp)", ["CCO", "CCI", "CaO2", "CvO2"], t="hour", rnd=False),
+    "f1": interp_sql("SELECT * FROM grid", ["CCO", "CCI", "CaO2", "CvO2"], "hour"),
+    "f2": 'SELECT encounter_id, hour, 10 * "CCO" * ("CaO2" - "CvO2") AS "VO2", 10 * "CCI" * ("CaO2" - "CvO2") AS "VO2_I" FROM f1',
+    "f3": interp_sql("SELECT * FROM f2", ["VO2", "VO2_I"], "hour", forward=("VO2", "VO2_I")),
+}
 register("vo2", with_ctes(
     _long_sql("SELECT * FROM f3", ["VO2", "VO2_I"], extra=", CAST(hour * 3600 AS BIGINT) AS time_s"),
-    "eid", "labs_c", "flow_c", extra={
-        "comp": _metric_comp_sql(_VO.REQUIRES["labs"], _VO.REQUIRES["flowsheet"], _VO.RENAME),
-        "ca": o2_sql("SELECT * FROM comp WHERE name LIKE '%O2SAT ARTERIAL%'", _HGB, "SELECT * FROM comp WHERE name LIKE '%PO2 ARTERIAL%'", "CaO2"),
-        "cv": o2_sql("SELECT * FROM comp WHERE name IN ('O2SAT VENOUS MEASURED', 'SVO2 (%)')", _HGB, "SELECT * FROM comp WHERE name LIKE '%PO2 VENOUS%'", "CvO2"),
-        "rw": "SELECT encounter_id, time_s, name, value FROM ca UNION ALL SELECT encounter_id, time_s, name, value FROM cv "
-              "UNION ALL SELECT encounter_id, time_s, name, value FROM comp WHERE name IN ('CCO', 'CCI')",
-        "kp": "SELECT encounter_id FROM rw GROUP BY 1 HAVING bool_or(name LIKE '%CC%') AND bool_or(name = 'CaO2') AND bool_or(name = 'CvO2')",
-        "grid": _pivot_sql("SELECT encounter_id, CAST(round_even((time_s / 86400.0) * 24.0, 0) AS BIGINT) AS hour, name, value FROM rw "
-                           "WHERE value IS NOT NULL AND encounter_id IN (SELECT encounter_id FROM kp)", ["CCO", "CCI", "CaO2", "CvO2"], t="hour", rnd=False),
-        "f1": interp_sql("SELECT * FROM grid", ["CCO", "CCI", "CaO2", "CvO2"], "hour"),
-        "f2": 'SELECT encounter_id, hour, 10 * "CCO" * ("CaO2" - "CvO2") AS "VO2", 10 * "CCI" * ("CaO2" - "CvO2") AS "VO2_I" FROM f1',
-        "f3": interp_sql("SELECT * FROM f2", ["VO2", "VO2_I"], "hour", forward=("VO2", "VO2_I")),
-    }))(_vo2)
+    "eid", "labs_c", "flow_c", extra=_VO_CTES))(_vo2)
 
 _CP = MT.CardiacPower
 _CP_CTES = {
@@ -771,6 +787,155 @@ register("metric_report", with_ctes(_REPORT_SQL, "eid", "einfo", "offs", "flow_c
 register("metric_report_range", with_ctes(_REPORT_SQL + " HAVING a.btime BETWEEN -1 AND 200", "eid", "einfo", "offs", "flow_c", extra=_REPORT_CTES))(
     lambda spark, sf: _report(spark, sf, -1, 200))
 
+
+
+def _report_all(spark, sf):
+    """Mean per half-day bin of oxygen consumption and delivery, cardiac power, stroke work and base excess."""
+    co = cohort(spark, sf)
+    frames = [MT.add_continuous_metric(co, m).compute()
+              for m in (MT.OxygenConsumption, MT.OxygenDelivery, MT.CardiacPower, MT.VentricularStrokeWorkIndex)]
+    return MT.metric_report(co, [*frames, co.labs(["BASE EXCESS VENOUS"])]).withColumn("value", r6("value"))
+
+
+def _nested(body: str, ctes: dict) -> str:
+    return "WITH " + ", ".join(f"{k} AS ({v})" for k, v in ctes.items()) + " " + body
+
+
+def _series_sql(cols, time_s: str) -> str:
+    return " UNION ALL ".join(f"SELECT encounter_id, {time_s} AS time_s, '{c}' AS name, \"{c}\" AS value FROM f3" for c in cols)
+
+
+_ALL_SERIES = {**_REPORT_CTES,
+    "dox": _nested(_series_sql(["DO2", "DO2_I"], "CAST(round(hour * 3600) AS BIGINT)"), _DO_CTES),
+    "vox": _nested(_series_sql(["VO2", "VO2_I"], "CAST(hour * 3600 AS BIGINT)"), _VO_CTES),
+    "bex": _COHORT_LABS(["BASE EXCESS VENOUS"])}
+register("metric_report_all", with_ctes(
+    _REPORT_SQL.replace("FROM rv3x)", "FROM rv3x UNION ALL " + " UNION ALL ".join(
+        f"SELECT encounter_id, time_s, name, value FROM {t}" for t in ("dox", "vox", "bex")) + ")"),
+    "eid", "einfo", "offs", "flow_c", "labs_c", extra=_ALL_SERIES))(_report_all)
+
+# --- metrics with their measured components, all metrics at once, samples, limits (MET-02, MET-05..07, MET-12) --------
+
+
+def _long_components(metric_cls, spark, sf):
+    return _met(metric_cls, spark, sf).compute(with_components=True).withColumn("value", r6("value"))
+
+
+def _components_sql(raw, filled, time_s: str) -> str:
+    cols = ", ".join([f'g."{c}"' for c in raw] + [f'f3."{c}"' for c in filled])
+    src = f"SELECT g.encounter_id, g.hour, {cols} FROM grid g JOIN f3 ON g.encounter_id = f3.encounter_id AND g.hour = f3.hour"
+    return _long_sql(src, [*raw, *filled], extra=f", {time_s} AS time_s")
+
+
+register("do2_components", with_ctes(_components_sql(
+    ["CCO", "CCI", "CaO2"], ["DO2", "DO2_I"], "CAST(round(hour * 3600) AS BIGINT)"), "eid", "labs_c", "flow_c", extra=_DO_CTES))(
+    lambda spark, sf: _long_components(MT.OxygenDelivery, spark, sf))
+register("vo2_components", with_ctes(_components_sql(
+    ["CCO", "CCI", "CaO2", "CvO2"], ["VO2", "VO2_I"], "CAST(hour * 3600 AS BIGINT)"), "eid", "labs_c", "flow_c", extra=_VO_CTES))(
+    lambda spark, sf: _long_components(MT.OxygenConsumption, spark, sf))
+
+
+def _cp_components(spark, sf):
+    g = _met(MT.CardiacPower, spark, sf).compute(with_components=True)
+    return g.select("encounter_id", "time_s", *[r6(F.col(f"`{c}`")).alias(c) for c in (*MT.CardiacPower.GRID, "Cardiac Power")])
+
+
+register("cpo_components", with_ctes("""
+SELECT g.encounter_id, g.time_s, round(g."A-LINE MAP", 6) AS "A-LINE MAP", round(g."CVP", 6) AS "CVP", round(g."CCO", 6) AS "CCO",
+  round(c."Cardiac Power", 6) AS "Cardiac Power" FROM cpg g JOIN cp3 c ON g.encounter_id = c.encounter_id AND g.time_s = c.time_s""",
+    "eid", "flow_c", extra=_CP_CTES))(_cp_components)
+
+
+def _metric_set(spark, sf):
+    co = cohort(spark, sf)
+    for m in (MT.CardiacPower, MT.VentricularStrokeWorkIndex):
+        co.add_continuous_metric(m)
+    a, b = MT.compute_metrics(co).values()
+    return a.unionByName(b).withColumn("value", r6("value"))
+
+
+register("metric_set", with_ctes("SELECT * FROM cpo UNION ALL SELECT * FROM rvo", "eid", "flow_c",
+                                 extra={**_CP_CTES, **_RV_CTES}))(_metric_set)
+
+register("metric_sample", with_ctes("""SELECT * FROM comp WHERE encounter_id IN (
+  SELECT encounter_id FROM (SELECT DISTINCT encounter_id FROM comp) z ORDER BY md5(encounter_id || '|42'), encounter_id LIMIT 20)""",
+    "eid", "labs_c", extra={"comp": _OC_COMP}))(lambda spark, sf: _met(MT.OxygenContent, spark, sf).db_sample(20))
+register("sample_one_encounter", with_ctes("""SELECT * FROM comp WHERE encounter_id = (
+  SELECT encounter_id FROM (SELECT DISTINCT encounter_id FROM comp) z ORDER BY md5(encounter_id || '|42'), encounter_id LIMIT 1)""",
+    "eid", "labs_c", extra={"comp": _OC_COMP}))(lambda spark, sf: _met(MT.OxygenContent, spark, sf).db_sample(1))
+
+register("flag_out_of_range", with_ctes(
+    f"SELECT *, (name = 'CCI' AND value NOT BETWEEN 0 AND 20) AS out_of_range FROM ({_COHORT_FLOW(['CCI', 'CCO'])}) f", "eid", "flow_c"))(
+    lambda spark, sf: _met(MT.OxygenDelivery, spark, sf).flag_out_of_range(cohort(spark, sf).flowsheet(["CCI", "CCO"])))
+
+# --- other anchors and cohorts (CO-03, CO-04, JOIN-03), totals on rows (WIN-03), fill by time (WIN-01) -----------------
+
+_FIRST_PROC = "SELECT encounter_id, min(days_from_dob_procstart) AS ev FROM proc WHERE encounter_id IN (SELECT encounter_id FROM eid) GROUP BY 1"
+
+
+def _set_offset(spark, sf):
+    co = cohort(spark, sf)
+    first = co.db.procedures.sel(encounter_id=co.eid).groupBy("encounter_id").agg(F.min("days_from_dob_procstart").alias("offset"))
+    co = co.set_offset(first)
+    return co.align_metric(co.labs(["HEMOGLOBIN"]))
+
+
+register("set_offset", with_ctes(f"""
+SELECT t.encounter_id, t.time_s - CAST(o.ev AS BIGINT) * 86400 AS time_s, t.name, t.value, o.ev AS "offset"
+FROM ({_COHORT_LABS(['HEMOGLOBIN'])}) t LEFT JOIN ({_FIRST_PROC}) o ON t.encounter_id = o.encounter_id""", "eid", "labs_c", "proc"))(_set_offset)
+
+
+def _anchored(anchor):
+    def query(spark, sf):
+        co = cohort(spark, sf)
+        return co.align_metric(co.labs(["HEMOGLOBIN"]), anchor=anchor)
+    return query
+
+
+for _anchor, _fn in (("first", "min"), ("last", "max")):
+    register(f"align_{_anchor}", with_ctes(f"""
+SELECT t.encounter_id, t.time_s - CAST(o.ev AS BIGINT) * 86400 AS time_s, t.name, t.value, o.ev AS "offset"
+FROM ({_COHORT_LABS(['HEMOGLOBIN'])}) t LEFT JOIN (SELECT encounter_id, {_fn}("offset") AS ev FROM offs GROUP BY 1) o
+ON t.encounter_id = o.encounter_id""", "eid", "labs_c", "offs"))(_anchored(_anchor))
+
+
+def _encounter_cohort(spark, sf):
+    from wardlens.plans.cohort import EncounterCohort
+    db = ds(spark, sf)
+    ids = db.procedures.sel(order_name=CS.CABG_NAMES).select("encounter_id")
+    return EncounterCohort(db, ids).labs(["HEMOGLOBIN"])
+
+
+register("encounter_cohort", with_ctes(tidy_labs_sql(
+    "(SELECT * FROM labs_c WHERE lab_component_name = 'HEMOGLOBIN' AND encounter_id IN (SELECT encounter_id FROM enc))"), "enc", "labs_c"))(
+    _encounter_cohort)
+
+register("group_total", with_ctes(
+    f"SELECT m.*, t.total FROM cm m JOIN (SELECT encounter_id, round(sum(value), 6) AS total FROM cm GROUP BY 1) t ON m.encounter_id = t.encounter_id",
+    "eid", "meds_c", extra={"cm": _COHORT_MEDS}))(
+    lambda spark, sf: TS.group_total(cohort(spark, sf).meds(MEDS), "value").withColumn("total", r6("total")))
+
+
+def _interp_time(spark, sf):
+    g = TD.pivot_tidy(cohort(spark, sf).flowsheet(["CCI", "CCO"]), ["CCI", "CCO"])
+    g = TS.interpolate(g, ["CCI", "CCO"], by="time")
+    return g.select("encounter_id", "time_s", r6("CCI").alias("CCI"), r6("CCO").alias("CCO"))
+
+
+def _interp_time_sql(cols) -> str:
+    """Linear in time between the neighbouring values, found by a join on the next and the previous time."""
+    out, joins = [], []
+    for i, c in enumerate(cols):
+        out.append(f"round(coalesce(g.\"{c}\", p{i}.v + (n{i}.v - p{i}.v) * (g.time_s - p{i}.time_s) / (n{i}.time_s - p{i}.time_s)), 6) AS \"{c}\"")
+        known = f'(SELECT encounter_id, time_s, "{c}" AS v FROM g WHERE "{c}" IS NOT NULL)'
+        joins.append(f"ASOF LEFT JOIN {known} p{i} ON g.encounter_id = p{i}.encounter_id AND g.time_s > p{i}.time_s")
+        joins.append(f"ASOF LEFT JOIN {known} n{i} ON g.encounter_id = n{i}.encounter_id AND g.time_s < n{i}.time_s")
+    return f"SELECT g.encounter_id, g.time_s, {', '.join(out)} FROM g {' '.join(joins)}"
+
+
+register("interp_time", with_ctes(_interp_time_sql(["CCI", "CCO"]), "eid", "flow_c", extra={
+    "g": _pivot_sql(_COHORT_FLOW(["CCI", "CCO"]), ["CCI", "CCO"], rnd=False)}))(_interp_time)
+
 # --- sources and sinks round trips (SRC-02/03/07, SNK-01..05) ---------------------------------------------------
 
 import uuid  # noqa: E402

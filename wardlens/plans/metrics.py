@@ -353,3 +353,8 @@ def add_continuous_metric(co, metric_cls) -> Metric:
     co.metrics.metrics.append(m)
     m.__attach__(co.metrics)
     return m
+
+
+def compute_metrics(co, sample=None) -> dict[str, DataFrame]:
+    """MET-02: the result of every metric attached to the cohort, by class name, in the order of attaching."""
+    return {m.classname: m.compute(sample) for m in co.metrics.metrics}
