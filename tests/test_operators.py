@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from wardlens.operators import summary as SM
 from wardlens.operators import tidy as TD
 from wardlens.plans.cohort import align
 from wardlens.plans.variables import aki_stage
@@ -92,3 +93,10 @@ def test_pivot_and_melt_roundtrip(spark):
     assert rows == {0: (2.0, 5.0, None), 1: (None, 7.0, None)}
     m = TD.melt_tidy(p, t="time_s")
     assert m.count() == 6 and m.where(F.col("value").isNull()).count() == 3
+
+
+def test_table_one_keeps_the_null_group(spark):
+    t1 = spark.createDataFrame([(1, 5.0, "a", "x"), (2, 7.0, "b", None), (3, 9.0, "b", None)], "encounter_id int, v double, c string, g string")
+    rows = SM.table_one(t1, ["v"], ["c"], group="g").collect()
+    assert {(r["group"], r["variable"], r["level"], r["n"], r["pct"]) for r in rows} == {
+        ("x", "v", None, 1, None), (None, "v", None, 2, None), ("x", "c", "a", 1, 100.0), (None, "c", "b", 2, 100.0)}
