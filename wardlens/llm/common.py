@@ -114,7 +114,8 @@ def with_ids(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, "left_semi")
 
 
-def bucket_components(rows: DataFrame, may: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def bucket_components(rows: DataFrame, may: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame],
+                      closer: tuple[Callable[[DataFrame], DataFrame], Callable[[Column, Column], Column]] | None = None) -> DataFrame:
     """(node, root): connected components of all similar pairs that share a bucket; members without a link are left out.
 
     ``rows`` has (key, id, x): bucket, member, and what the cheap test ``may`` reads of a member;
@@ -123,6 +124,9 @@ def bucket_components(rows: DataFrame, may: Callable[[Column, Column], Column],
     pairs between components that the links so far leave apart. So rounds follow, with 8 times as
     many further leaders each (members below a rising hash threshold), which meet members of other components
     only. They end when each bucket is one component or has had all its pairs tested: none is capped.
+
+    ``closer``, for these rounds, has a function from (id, root) of the members left to (id, x), a costlier x that is found from all
+    of them, and the test that reads it; members that it leaves out are known to have no link to another component.
     """
     u = F.shiftrightunsigned(F.xxhash64("id", "key"), 11) / F.lit(2.0**53)
     # Most keys are held by one member; they leave on their count alone, before members are dealt out.
@@ -137,7 +141,7 @@ def bucket_components(rows: DataFrame, may: Callable[[Column, Column], Column],
     found = verify(store(first.union(few.select(*pair(F.col("p.id"), F.col("q.id")))).distinct(), "pairs"))
     comp = connected_components(store(found, "links"))
     large = shared.where(f"n > {SMALL}").select("key", "id", "x", "n", u.alias("u"), F.col("id").alias("root"))
-    done, width, renamed = 0, 8, comp
+    done, width, renamed, detail = 0, 8, comp, closer
     while True:
         if renamed is not None:
             new = renamed.select(F.col("node").alias("root"), F.col("root").alias("new_root"))
@@ -146,6 +150,9 @@ def bucket_components(rows: DataFrame, may: Callable[[Column, Column], Column],
         large = store(large.join(apart.where(f"lo < hi and n > {done}").select("key"), "key", "left_semi"), "open")
         if large.isEmpty():
             return comp
+        if detail:
+            known, may = detail
+            large, detail = store(large.drop("x").join(known(large.select("id", "root").distinct()), "id"), "closer"), None
         place = F.col("u") * F.col("n")
         leaders = large.where((place >= done) & (place < done + width)).select(
             "key", F.col("id").alias("lead"), F.col("x").alias("lead_x"), F.col("root").alias("lead_root"), F.col("u").alias("lead_u"))
