@@ -7,7 +7,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from wardlens.operators import timeseries as TS
-from wardlens.sources.dataset import Dataset, clean_days, read_table
+from wardlens.sources.dataset import Dataset, Registry, Table, clean_days, read_table
 from wardlens.sources.schemas import LAYOUTS, META
 
 LABS = META["labs"]
@@ -73,3 +73,34 @@ def test_segment_windows_are_dealt_out_by_segment(spark):
     for out in (TS.interpolate(dealt, ["value"], t="hours", seg_width=24.0), TS.trapezoid(dealt, keys=("encounter_id",))):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "_seg" in "".join(x for x in plan.split("\n") if "Exchange hashpartitioning" in x)
+
+
+def test_cast_write_and_contains(spark, tmp_path):
+    names = [f.name for f in LABS.schema.fields]
+    rows = [{"encounter_id": "7", "lab_component_name": "Est gfr", "lab_result_value": "59.5"},
+            {"encounter_id": "8", "lab_component_name": "HGB", "lab_result_value": ">60"}]
+    path = lab_csv(tmp_path, names, [",".join(r.get(n, "") for n in names) for r in rows])
+    t = Table(LABS, read_table(spark, path, LABS))
+    assert [r.lab_result_value for r in t.cast("lab_result_value", "double").orderBy("encounter_id").collect()] == [59.5, None]
+    assert [r.encounter_id for r in t.sel(contains="GFR", clean=False).collect()] == [7]
+    back = spark.read.parquet(t.write(str(tmp_path / "whole")))
+    assert back.dtypes == t.df.dtypes and sorted(back.collect()) == sorted(t.df.collect())
+
+
+def test_registry_reads_its_two_files(spark, tmp_path):
+    (tmp_path / "primary.csv").write_text("id,age\n1,60\n2,70\n")
+    (tmp_path / "second.csv").write_text("id,age\n2,71\n")
+    r = Registry(spark, str(tmp_path), {"redo": "second.csv"})
+    assert (r.primary().count(), r.redo().columns, r.redo().first().age) == (2, ["id", "age"], "71")
+
+
+def test_oxygen_content_on_a_grid(spark):
+    from wardlens.plans.metrics import o2_content_at, o2_content_on
+
+    series = lambda rows: spark.createDataFrame(rows, "encounter_id long, time_s double, value double")
+    sat, hgb, po2 = series([(1, 0.0, 90.0), (1, 100.0, 100.0)]), series([(1, 0.0, 10.0)]), series([(1, 50.0, 80.0)])
+    got = o2_content_on(sat.withColumn("time_s", F.lit(50.0)).distinct(), sat, hgb, "CaO2", po2).distinct().collect()
+    want = o2_content_at(series([(1, 50.0, 95.0)]), hgb, po2, "CaO2").first()
+    assert [r.value for r in got] == [pytest.approx(want.value)]
+    dry = o2_content_on(series([(1, 50.0, 0.0)]), sat, hgb, "CaO2").first()
+    assert dry.value == pytest.approx(o2_content_at(series([(1, 50.0, 95.0)]), hgb, po2.limit(0), "CaO2").first().value)

@@ -111,6 +111,14 @@ def o2_content_at(targets: DataFrame, hgb: DataFrame, po2: DataFrame, label: str
                     o2_content("_sat", "_h", F.coalesce(F.col("_p"), F.lit(0.0))).alias("value"))
 
 
+def o2_content_on(grid: DataFrame, sat: DataFrame, hgb: DataFrame, label: str, po2: DataFrame | None = None) -> DataFrame:
+    """Oxygen content at the times of ``grid`` (encounter_id, time_s): saturation too is interpolated."""
+    refs = {"_sat": sat, "_h": hgb} | ({"_p": po2} if po2 is not None else {})
+    p = TS.asof_interpolate(grid.select("encounter_id", "time_s"), refs)
+    pressure = F.coalesce(F.col("_p"), F.lit(0.0)) if po2 is not None else F.lit(0.0)
+    return p.select("encounter_id", "time_s", F.lit(label).alias("name"), o2_content("_sat", "_h", pressure).alias("value"))
+
+
 def o2_contents(c: DataFrame, arterial_sat, venous_sat) -> DataFrame:
     """CaO2 and CvO2 rows in one as-of pass: both saturation kinds are targets, and
     haemoglobin, arterial and venous PO2 are three reference series of the same union."""

@@ -161,9 +161,7 @@ def post_op_icu_days(co) -> DataFrame:
 
 def ckd(co) -> DataFrame:
     """CL-16: any GFR below 60 between 3 days before and 1 day after the procedure day."""
-    labs = co.db.labs
-    names = labs.search("GFR")
-    l = tidy_labs(labs.sel(lab_component_name=names, encounter_id=co.eid))
+    l = tidy_labs(co.db.labs.sel(contains="GFR", encounter_id=co.eid))
     l = co.align_metric(l).where((F.col("time_s") > -3 * DAY_S) & (F.col("time_s") < DAY_S))
     return l.groupBy("encounter_id").agg(_any(F.col("value") < 60).alias("ckd"))
 
@@ -188,9 +186,7 @@ def icu_los(co) -> DataFrame:
 
 def blood_products(co, kind: str = "RBC", total: bool = False) -> DataFrame:
     """CL-19: units of one product kind per encounter (distinct values, or their sum)."""
-    t = co.db.transfusion
-    names = t.search(f"TRANSFUSE {kind}:")
-    bp = t.sel(transfusion_name=names, encounter_id=co.eid)
+    bp = co.db.transfusion.sel(contains=f"TRANSFUSE {kind}:", encounter_id=co.eid)
     col = f"units_{kind.lower()}"
     units = first_token("number_of_units", " ").try_cast("int")
     if total:

@@ -65,16 +65,19 @@ class Table:
             raw = raw.withColumn(meta.search_col, F.upper(F.col(meta.search_col)))  # PRJ-01
         self.df = raw
 
-    def sel(self, values=None, clean=True, pivot=False, pivot_names=None, **filters) -> DataFrame:
+    def sel(self, values=None, clean=True, pivot=False, pivot_names=None, contains: str | None = None, **filters) -> DataFrame:
         """Select rows by the default column and/or keyword filters (FIL-04).
 
+        ``contains`` keeps rows whose search column holds that text, in the same scan.
+
         ``values`` filters the search column; keyword filters are combined with it.
         ``None`` filters are ignored. Day columns are cleaned and typed (FIL-02),
         rows without an encounter id dropped (FIL-03).
         """
         if values is not None:
             filters = {**filters, self.search_col: values}
-        df = filter_isin(self.df, **{k: v for k, v in filters.items() if v is not None})
+        df = self.df if contains is None else self.df.where(F.upper(F.col(self.search_col)).contains(contains))
+        df = filter_isin(df, **{k: v for k, v in filters.items() if v is not None})
         if clean:
             df = clean_days(df)
         if "encounter_id" in df.columns:
@@ -105,6 +108,15 @@ class Table:
     def head(self) -> DataFrame:
         return self.df.limit(0)
 
+    def cast(self, column: str, dtype: str) -> DataFrame:
+        """PRJ-02: the rows with one column in another type; values that do not parse become null."""
+        return self.df.withColumn(column, F.col(column).try_cast(dtype))
+
+    def write(self, path: str, overwrite: bool = False) -> str:
+        """SNK-04: the whole table as Parquet, in its declared types."""
+        conform(self.df, self.meta.schema).write.mode("overwrite" if overwrite else "errorifexists").parquet(path)
+        return path
+
     def partition(self, path: str, column: str | None = None, overwrite: bool = False) -> str:
         """SNK-01: Parquet copy partitioned on an upper-cased text key."""
         column = column or self.search_col
@@ -238,3 +250,20 @@ def load_table(spark: SparkSession, data_dir: str, file_name: str, fmt: str = "c
     for k, v in options.items():
         reader = reader.option(k, v)
     return reader.load(os.path.join(data_dir, file_name))
+
+
+class Registry:
+    """SRC-05: the auxiliary two-file registry, flat CSV extracts of first and of repeated operations."""
+
+    # Table names.
+    NAMES = ("primary", "redo")
+
+    def __init__(self, spark: SparkSession, data_dir: str, files: dict[str, str] | None = None):
+        self.spark, self.data_dir = spark, data_dir
+        self.files = {n: f"{n}.csv" for n in self.NAMES} | (files or {})
+
+    def primary(self) -> DataFrame:
+        return load_table(self.spark, self.data_dir, self.files["primary"])
+
+    def redo(self) -> DataFrame:
+        return load_table(self.spark, self.data_dir, self.files["redo"])
