@@ -1,6 +1,7 @@
 """Near-duplicate documents by ProbMinHash signatures, banding and exact verification.
 
-Texts become sets of five-word shingles with saturating weights. In ProbMinHash every shingle is a
+Texts become sets of five-word shingles, all of weight 1: links are set Jaccard, and only with equal weights is the
+probability Jaccard similarity the same, however often the texts repeat a shingle. In ProbMinHash every shingle is a
 Poisson process whose rate is its weight: its arrivals fall into random registers, each register
 keeps the shingle that arrived first, and a shingle stops as soon as its next arrival is later than
 the latest register. Two texts agree in a register with a probability equal to their probability Jaccard
@@ -24,10 +25,12 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: A pair at similarity 0.8 misses all bands with probability (1 - 0.8**ROWS)**BANDS, 2e-6.
 ROWS, BANDS = 6, 44
 #: Before the sets are fetched, the lowest bits of the first 128 registers are compared. At a similarity of 0.8, 115 agree on
-#: average (deviation 3.4); pairs with fewer than so many are dropped (probability below 1e-9).
-BITS_AGREE = 92
+#: average (deviation 3.4); pairs with fewer than so many are dropped (probability 2e-9, in large sets). In small sets few bits decide
+#: how often other shingles agree by chance (6e-4 for sets of 4), so pairs with a set below BITS_FROM skip this test; from there on it is 3e-9 at most.
+BITS_AGREE, BITS_FROM = 92, 64
 #: Members of large buckets that are still apart compare the lowest 4 bits of 256 registers. At a similarity of 0.8, 208 agree on
-#: average (deviation 6.2, agreement by chance included); fewer than so many have a probability of 4e-7.
+#: average (deviation 6.2, agreement by chance included); fewer than so many have a probability of 3e-7, and of 4e-6 in small sets
+#: where no other shingles agree by chance.
 NIBBLES, NIBBLES_AGREE = 256, 175
 #: Characters at which str.split() would split beyond the ASCII white space of words.
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -104,8 +107,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             while at < len(ids) and len(keep) < 256 and held < 200_000:
                 s = shingles(texts[at])
                 if len(s):
-                    u, c = np.unique(s, return_counts=True)
-                    keep.append(ids[at]), sets.append(u), weights.append(2.0 * c / (c + 1.0))  # frequency, saturating below 2
+                    u = np.unique(s)
+                    keep.append(ids[at]), sets.append(u), weights.append(np.ones(len(u)))
                     held += len(u)
                 at += 1
             if not keep:
@@ -175,7 +178,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
     def may(p: Column, q: Column) -> Column:
         differ = F.bit_count(p["low"].bitwiseXOR(q["low"])) + F.bit_count(p["high"].bitwiseXOR(q["high"]))
-        return (F.least(p["size"], q["size"]) >= SIMILARITY * F.greatest(p["size"], q["size"]) - 1e-9) & (differ <= 128 - BITS_AGREE)
+        least = F.least(p["size"], q["size"])
+        return (least >= SIMILARITY * F.greatest(p["size"], q["size"]) - 1e-9) & ((least < BITS_FROM) | (differ <= 128 - BITS_AGREE))
 
     def common(left: DataFrame) -> DataFrame:
         """Of each member's set its size and the part that another component has too; members with too small a part have no link to one."""
