@@ -964,17 +964,24 @@ SELECT encounter_id, lab_result_value, lab_result_unit, lab_collection_days_sinc
     extra={"__views__": ["labs"]}))(_partition_roundtrip)
 
 
-def _dump(spark, sf):
-    co = cohort(spark, sf)
-    d = _scratch(spark, "dump")
-    SK.dump_tables(co, d)
-    labs = co.db.labs.sel()
-    return spark.read.schema(labs.schema).option("header", True).csv(os.path.join(d, "Table3_Lab.csv"))
+def _dumped(table: str):
+    """The export of one table of the cohort, read back."""
+    def run(spark, sf):
+        co = cohort(spark, sf)
+        d = _scratch(spark, "dump")
+        SK.dump_tables(co, d)
+        schema = (co.encounter_info if table == "encounters" else co.db.table(table).sel()).schema
+        return spark.read.schema(schema).option("header", True).csv(os.path.join(d, SK.LAYOUTS["swan"][table]))
+    return run
 
 
 register("dump_cohort", with_ctes(
     "SELECT * FROM labs_c WHERE lab_component_name IN ('CREATININE SERUM', 'TROPONIN I') AND encounter_id IN (SELECT encounter_id FROM eid)",
-    "eid", "labs_c"))(_dump)
+    "eid", "labs_c"))(_dumped("labs"))
+register("dump_cohort_encounters", with_ctes("SELECT * FROM einfo", "einfo"))(_dumped("encounters"))
+register("dump_cohort_procedures", with_ctes(
+    f"SELECT * FROM proc WHERE order_name IN {_lst(CS.ICU_CODES + CS.ROOM_CODES + CS.CABG_NAMES)} AND encounter_id IN (SELECT encounter_id FROM eid)",
+    "eid", "proc"))(_dumped("procedures"))
 
 _ETL_SQL = with_ctes("""
 SELECT encounter_id, CAST(flowsheet_days_since_birth AS INT) AS flowsheet_days_since_birth, flowsheet_time, flowsheet_value,
