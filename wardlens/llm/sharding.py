@@ -1,7 +1,7 @@
 """Sharding by proportional stratified interleaving, with DataFrame functions only.
 
-Rows of a source are shuffled by a seeded hash and ranked; rank / count is the row's place in
-[0, 1) within its source. All rows in the order of this place form a stream in which any stretch
+Rows of a source are shuffled by a seeded hash and ranked; (rank + offset) / count is the row's place in
+[0, 1) within its source. The offset in [0, 1) is a hash of the source, so that rows of tiny sources spread over the places too. All rows in the order of this place form a stream in which any stretch
 has the mixture of the whole, and the stream is cut into equal counts.
 
 Neither rank needs all rows of a key in one task: rows are dealt by a prefix of the ordering value
@@ -59,7 +59,8 @@ def shard(df: DataFrame, shards: int = 16, seed: int = 11, source: str = "source
     tie = [F.col("h__"), F.col("k__"), F.col("text_crc32"), F.col("size")]
     # Place within the source: buckets are equal stretches of the 60-bit hash.
     d = _rank(d, ["s__"], F.floor(F.col("h__") / F.lit(2.0**60) * buckets).cast("long"), tie, "r__", "n__")
-    d = d.withColumn("f__", (F.col("r__") + 0.5) / F.col("n__"))
+    offset = F.shiftrightunsigned(hash60(F.col("s__"), seed=seed), 7) / F.lit(2.0**53)
+    d = d.withColumn("f__", (F.col("r__") + offset) / F.col("n__"))
     # Place in the stream: a constant key, so that the offsets run over the (small) bucket counts.
     d = _rank(d.withColumn("one__", F.lit(0)), ["one__"], F.floor(F.col("f__") * buckets).cast("long"),
               [F.col("f__"), F.col("s__").asc_nulls_last(), *tie], "g__", "all__")
