@@ -18,7 +18,7 @@ from .util import BASE, SF, frame, odd_rows, rows_of, words
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     df, rel = queries.QUERIES[name](spark, SF), con.sql(queries.ORACLE[name])
     cols = sorted(df.columns)

@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlens.llm import decontam, lang_id, line_dedup, minhash, mixing, quality_classifier, quality_rules, sharding, suffix_dedup, token_counts
+from wardlens.llm import (conversation_repair, decontam, filter_audit, lang_id, license_scan, line_dedup, minhash, mixing, quality_classifier,
+                          quality_rules, sharding, suffix_dedup, token_counts)
 from wardlens.llm.common import crc_mod, read_table
 
 
@@ -69,6 +70,23 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return filter_audit.audit(docs, read_table(spark, sf_dir, "labels"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = conversation_repair.damage(read_table(spark, sf_dir, "conversations"))
+    return conversation_repair.repair(damaged, present=F.col("present"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return license_scan.scan(docs, license_scan.build_index(docs)).select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_minhash_dedup, op3_token_counts, op4_quality_classifier, op5_quality_rules,
-                                   op6_line_dedup, op7_mix_sources, op8_shard, op9_language_id, op10_decontaminate)}
-ORACLE = {"op7_mix_sources": mixing.MIX_SQL, "op10_decontaminate": decontam.MARK_SQL}
+                                   op6_line_dedup, op7_mix_sources, op8_shard, op9_language_id, op10_decontaminate,
+                                   op11_filter_audit, op12_conversation_repair, op13_license_scan)}
+ORACLE = {"op7_mix_sources": mixing.MIX_SQL, "op10_decontaminate": decontam.MARK_SQL, "op11_filter_audit": filter_audit.AUDIT_SQL}
