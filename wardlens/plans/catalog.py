@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from wardlens.functions import codesets as CS
 from wardlens.operators import tidy as TD
 from wardlens.plans.oracle_sql import _lst, tidy_flow_sql, tidy_labs_sql, tidy_meds_sql, with_ctes
-from wardlens.sources.dataset import Dataset
+from wardlens.sources.dataset import Dataset, Table
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -953,6 +953,50 @@ def _scratch(spark, tag: str) -> str:
 import os  # noqa: E402
 
 
+def root_of_csv(spark, sf, tables=("labs",)) -> str:
+    """A folder of raw extracts under their original names, as hospitals deliver them: names in mixed case, all columns text."""
+    root = _scratch(spark, "root")
+    for name in tables:
+        t = ds(spark, sf).table(name)
+        raw = t.df.withColumn(t.search_col, F.initcap(t.search_col)) if t.meta.sanitize else t.df
+        SK.csv_writer(raw).csv(os.path.join(root, SK.LAYOUTS["swan"][name]))
+    return root
+
+
+def _cached_root(spark, sf, partitioned: bool, table: str = "labs") -> Dataset:
+    root = root_of_csv(spark, sf, (table,))
+    Dataset.from_root(spark, root).write_cache([table], partitioned=partitioned)
+    return Dataset.from_root(spark, root)
+
+
+_SEL_LABS_SQL = with_ctes(f"SELECT * FROM labs_c WHERE lab_component_name IN {_lst(SEL_LABS)}", "labs_c")
+register("csv_sel", _SEL_LABS_SQL)(lambda spark, sf: Dataset.from_root(spark, root_of_csv(spark, sf)).labs.sel(SEL_LABS))
+register("cached_sel", _SEL_LABS_SQL)(lambda spark, sf: _cached_root(spark, sf, False).labs.sel(SEL_LABS))
+register("part_sel", _SEL_LABS_SQL)(lambda spark, sf: _cached_root(spark, sf, True).labs.sel(SEL_LABS))
+
+_NAME_COUNTS_SQL = "SELECT upper(display_name) AS display_name, CAST(count(*) AS BIGINT) AS count FROM flowsheet_v WHERE display_name IS NOT NULL GROUP BY 1"
+register("root_value_counts", with_ctes(_NAME_COUNTS_SQL, extra={"__views__": ["flowsheet"]}))(
+    lambda spark, sf: _cached_root(spark, sf, True, "flowsheet").flowsheet.unique())
+register("root_search", with_ctes("SELECT DISTINCT upper(display_name) AS display_name FROM flowsheet_v WHERE upper(display_name) LIKE '%CC%'",
+    extra={"__views__": ["flowsheet"]}))(lambda spark, sf: Dataset.from_root(spark, root_of_csv(spark, sf, ("flowsheet",))).flowsheet.search("CC"))
+
+
+def _partition_refresh(spark, sf):
+    """A copy of an older extract, in which one name is brought up to date."""
+    root = root_of_csv(spark, sf)
+    new = Dataset.from_root(spark, root, cached=False).labs
+    old = Table(new.meta, new.df.withColumn("lab_result_unit", F.lit("OLD")), new.source, new.stem)
+    old.partition()
+    new.refresh(["Hemoglobin"])
+    return Dataset.from_root(spark, root).labs.df
+
+
+register("partition_refresh", with_ctes("""
+SELECT encounter_id, upper(lab_component_name) AS lab_component_name, lab_result_value,
+  CASE WHEN lab_component_name = 'HEMOGLOBIN' THEN lab_result_unit ELSE 'OLD' END AS lab_result_unit,
+  lab_collection_days_since_birth, lab_collection_time, loinc_code FROM labs_v""", extra={"__views__": ["labs"]}))(_partition_refresh)
+
+
 def _partition_roundtrip(spark, sf):
     p = ds(spark, sf).labs.partition(_scratch(spark, "part"))
     return spark.read.parquet(p)
