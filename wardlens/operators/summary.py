@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -19,30 +19,24 @@ def table_one(t1: DataFrame, numeric, categorical, key: str = "encounter_id", gr
     """AGG-16: long Table One ``(group, variable, level, n, missing, mean, sd, pct)``.
 
     Numeric variables give n, missing, mean and sample SD; categorical ones give a count
-    and a percentage of the non-missing rows per level. One grouped aggregate per kind.
+    and a percentage of the non-missing rows per level. All variables go through one grouped aggregate, so
+    ``t1`` is read once; a window over its few rows gives the totals that percentages need.
     """
-    g = [F.col(group).cast("string").alias("group")] if group else [F.lit("overall").alias("group")]
-    out = []
-    if numeric:
-        long = t1.select(*g, F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("v"))
-                                                  for c in numeric])).alias("_s")).select("group", "_s.*")
-        out.append(long.groupBy("group", "variable").agg(
-            F.count("v").alias("n"), (F.count(F.lit(1)) - F.count("v")).alias("missing"),
-            F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"))
-            .withColumn("level", F.lit(None).cast("string")).withColumn("pct", F.lit(None).cast("double")))
-    if categorical:
-        long = t1.select(*g, F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("string").alias("level"))
-                                                  for c in categorical])).alias("_s")).select("group", "_s.*")
-        counts = long.where(F.col("level").isNotNull()).groupBy("group", "variable", "level").agg(F.count(F.lit(1)).alias("n"))
-        tot = long.groupBy("group", "variable").agg(F.count("level").alias("_tot"),
-                                                    (F.count(F.lit(1)) - F.count("level")).alias("missing"))
-        tot = tot.withColumnsRenamed({"group": "_group", "variable": "_variable"})  # null is a group, too
-        same = F.col("group").eqNullSafe(F.col("_group")) & (F.col("variable") == F.col("_variable"))
-        out.append(counts.join(tot, same).select(
-            "group", "variable", "level", "n", "missing", F.lit(None).cast("double").alias("mean"),
-            F.lit(None).cast("double").alias("sd"), (F.col("n") * 100.0 / F.col("_tot")).alias("pct")))
-    cols = ["group", "variable", "level", "n", "missing", "mean", "sd", "pct"]
-    return reduce(lambda a, b: a.unionByName(b), [o.select(*cols) for o in out])
+    g = F.col(group).cast("string") if group else F.lit("overall")
+    none = F.lit(None)
+    long = [F.struct(F.lit(c).alias("variable"), none.cast("string").alias("level"), F.col(c).cast("double").alias("v"), F.lit(True).alias("_num")) for c in numeric]
+    long += [F.struct(F.lit(c).alias("variable"), F.col(c).cast("string").alias("level"), none.cast("double").alias("v"), F.lit(False).alias("_num")) for c in categorical]
+    rows = t1.select(g.alias("group"), F.explode(F.array(*long)).alias("_s")).select("group", "_s.*")
+    num, level = F.col("_num"), F.col("level")
+    agg = rows.groupBy("group", "variable", "level", "_num").agg(
+        F.count(F.lit(1)).alias("_rows"), F.count("v").alias("_known"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"))
+    over = Window.partitionBy("group", "variable")
+    agg = agg.withColumn("_tot", F.sum(F.when(level.isNotNull(), F.col("_rows"))).over(over)).withColumn(
+        "_null", F.coalesce(F.sum(F.when(level.isNull(), F.col("_rows"))).over(over), F.lit(0)))
+    return agg.where(num | level.isNotNull()).select(
+        "group", "variable", "level", F.when(num, F.col("_known")).otherwise(F.col("_rows")).alias("n"),
+        F.when(num, F.col("_rows") - F.col("_known")).otherwise(F.col("_null")).alias("missing"), "mean", "sd",
+        F.when(~num, F.col("_rows") * 100.0 / F.col("_tot")).alias("pct"))
 
 
 def histogram(df: DataFrame, col: str = "value", lo: float = 0.0, hi: float = 1.0, bins: int = 10,

@@ -540,10 +540,14 @@ register("sample_encounters", with_ctes(f"""SELECT * FROM ({_SAMPLE_SQL}) x WHER
     lambda spark, sf: SM.sample_ids(cohort(spark, sf).labs(["CREATININE SERUM"]), 20, seed=42))
 
 
+def _spine(spark, sf):
+    co = cohort(spark, sf)
+    return SM.spine_join([co.age, co.gender, co.bmi, co.mortality, co.icu_los]).withColumn("bmi", r6("bmi"))
+
+
 def _table_one(spark, sf, categorical=("gender", "death"), group=None):
     co = cohort(spark, sf)
-    t1 = SM.spine_join([co.age, co.gender, co.bmi, co.mortality, co.icu_los])
-    t = SM.table_one(t1, ["age", "bmi", "icu_los"], list(categorical), group=group)
+    t = SM.table_one(co.variables(["age", "gender", "bmi", "death", "icu_los"]), ["age", "bmi", "icu_los"], list(categorical), group=group)
     return t.select("group", "variable", "level", "n", "missing", r6("mean").alias("mean"), r6("sd").alias("sd"),
                     r6("pct").alias("pct"))
 
@@ -554,6 +558,8 @@ _T1_SQL = """SELECT s.encounter_id, a.age, g.gender, b.bmi, d.death, i.icu_los F
 LEFT JOIN v_age a ON s.encounter_id = a.encounter_id LEFT JOIN v_gender g ON s.encounter_id = g.encounter_id
 LEFT JOIN v_bmi b ON s.encounter_id = b.encounter_id LEFT JOIN v_death d ON s.encounter_id = d.encounter_id
 LEFT JOIN v_icu i ON s.encounter_id = i.encounter_id"""
+register("spine_join", with_ctes("SELECT encounter_id, age, gender, round(bmi, 6) AS bmi, death, icu_los FROM t1", *_VAR_ALL, extra={**_VAR_SQL, "t1": _T1_SQL}))(_spine)
+
 register("table_one", with_ctes("""
 SELECT 'overall' AS "group", variable, CAST(NULL AS VARCHAR) AS level, count(v) AS n, count(*) - count(v) AS missing,
   round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS sd, CAST(NULL AS DOUBLE) AS pct FROM (

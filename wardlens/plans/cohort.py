@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from wardlens.functions.scalar import DAY_S
 from wardlens.operators.tidy import tidy_flow, tidy_labs, tidy_meds, tidy_procs
 from wardlens.plans import variables as V
+from wardlens.plans.fused import analysis_table, encounter_variables
 
 
 def align(df: DataFrame, events: DataFrame, time_col: str = "time_s", how: str = "left",
@@ -54,6 +55,7 @@ class ProcedureCohort(_CohortBase):
     def __init__(self, db, procedures, person_id=None, encounter_id=None, persist: bool = False):
         self.db = db
         self.procedures = list(procedures)
+        self.person_filter, self.encounter_filter, self.anchored = person_id, encounter_id, False
         self.procedure_info = db.procedures.sel(order_name=self.procedures, encounter_id=encounter_id)
         enc = db.encounters.sel(encounter_id=self.procedure_info.select("encounter_id"), person_id=person_id)
         # JOIN-02: procedures left-joined to encounter info, then rows with any null dropped
@@ -85,7 +87,7 @@ class ProcedureCohort(_CohortBase):
             raise ValueError("events need encounter_id and offset columns")
         other = object.__new__(ProcedureCohort)
         other.__dict__.update(self.__dict__)
-        other.offset = df.select("encounter_id", "offset")
+        other.offset, other.anchored = df.select("encounter_id", "offset"), True
         return other
 
     def align_metric(self, df: DataFrame, time_column: str = "time_s", events: DataFrame | None = None,
@@ -123,7 +125,8 @@ class ProcedureCohort(_CohortBase):
     post_op_icu_days = V.post_op_icu_days
     blood_products = V.blood_products
     comorbidity = V.comorbidity
-    table1 = V.analysis_table
+    table1 = analysis_table
+    variables = encounter_variables
 
 
 class EncounterCohort(_CohortBase):

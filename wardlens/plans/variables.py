@@ -236,20 +236,3 @@ def comorbidity(co, set_name: str = "liver_disease") -> DataFrame:
     match, prefixes = CS.CODE_SETS[set_name]
     cond = reduce(lambda a, b: a | b, [F.col("Code").startswith(p) for p in prefixes])
     return _dx_flag(co, cond, set_name, as_int=True)
-
-
-# --- CL-27 -------------------------------------------------------------------------------------------
-def analysis_table(co) -> DataFrame:
-    """Delirium outcome, surgery label and nine variables per encounter, distinct rows.
-
-    The variables are left-joined to the outcome's encounters (the spine), which equals the
-    chain of full outer joins restricted to those encounters, with fewer shuffles.
-    """
-    root = post_op_delirium(co, "encounter").select(
-        "encounter_id", F.when(F.col("post_op_delirium"), "Delirium").otherwise("No Delirium").alias("post_op_delirium"))
-    surgery = F.when(F.col("order_name").isin(CS.CABG_NAMES), "CABG").otherwise(F.col("order_name"))
-    ops = co.procedure_info.select("encounter_id", surgery.alias("surgery"))
-    out = root.join(ops, "encounter_id", "inner")
-    for v in (age(co), gender(co), bmi(co), dm(co), chf(co), osa(co), mortality(co), vent_duration(co), icu_los(co)):
-        out = out.join(v, "encounter_id", "left")
-    return out.distinct()
