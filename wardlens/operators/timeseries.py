@@ -23,17 +23,18 @@ def _seg(df: DataFrame, t: str, seg_width: float) -> DataFrame:
     return df.withColumn("_seg", F.floor(F.col(t) / F.lit(float(seg_width))).cast("bigint"))
 
 
-def _scan(d: DataFrame, keys: list[str], t: str, cols: list[str], positional: bool) -> DataFrame:
+def _scan(d: DataFrame, keys: list[str], t: str, cols: list[str], positional: bool, dealt: bool = False, totals: bool = False) -> DataFrame:
     """One pass over (key, segment) pieces plus one small summary join.
 
     For each column ``c`` adds ``c__pv``/``c__pp`` (last non-null value at or before the
     row and its position) and ``c__nv``/``c__np`` (first non-null at or after). Positions
     are ``t`` or, when ``positional``, the 1-based row number within the key (``_pos``).
-    Needs ``_seg``.
+    ``totals`` adds ``c__lo``/``c__hi``/``c__n``, the smallest and largest value of the key and how many it has.
+    Needs ``_seg``; ``dealt`` says that an earlier scan has dealt the rows out by key and segment.
     """
     part = [*keys, "_seg"]
     # An input dealt out by the key alone would satisfy the windows below and keep a hot key in one task.
-    d = d.repartition(*part)
+    d = d if dealt else d.repartition(*part)
     if positional:
         d = d.withColumn("_rn", F.row_number().over(W.partitionBy(*part).orderBy(t)))
         pos = F.col("_rn")
@@ -52,6 +53,7 @@ def _scan(d: DataFrame, keys: list[str], t: str, cols: list[str], positional: bo
     for c in cols:
         aggs += [F.max_by(c, at[c]).alias(f"{c}__lv"), F.max(at[c]).alias(f"{c}__lp"),
                  F.min_by(c, at[c]).alias(f"{c}__fv"), F.min(at[c]).alias(f"{c}__fp")]
+        aggs += [F.min(c).alias(f"{c}__lo"), F.max(c).alias(f"{c}__hi"), F.count(c).alias(f"{c}__n")] if totals else []
     summary = d.groupBy(*part).agg(*aggs)
     sf = W.partitionBy(*keys).orderBy(F.col("_seg").asc()).rowsBetween(W.unboundedPreceding, -1)
     sb = W.partitionBy(*keys).orderBy(F.col("_seg").desc()).rowsBetween(W.unboundedPreceding, -1)
@@ -61,6 +63,9 @@ def _scan(d: DataFrame, keys: list[str], t: str, cols: list[str], positional: bo
             summary = (summary.withColumn(f"{c}__lp", F.col(f"{c}__lp") + F.col("_off"))
                               .withColumn(f"{c}__fp", F.col(f"{c}__fp") + F.col("_off")))
     carry = [*part] + (["_off"] if positional else [])
+    whole = W.partitionBy(*keys)
+    for c in cols if totals else []:
+        carry += [F.min(f"{c}__lo").over(whole).alias(f"{c}__lo"), F.max(f"{c}__hi").over(whole).alias(f"{c}__hi"), F.sum(f"{c}__n").over(whole).alias(f"{c}__n")]
     for c in cols:
         carry += [F.last(f"{c}__lv", True).over(sf).alias(f"{c}__cpv"), F.last(f"{c}__lp", True).over(sf).alias(f"{c}__cpp"),
                   F.last(f"{c}__fv", True).over(sb).alias(f"{c}__cnv"), F.last(f"{c}__fp", True).over(sb).alias(f"{c}__cnp")]
@@ -85,64 +90,72 @@ def _blend(c: str, x) -> F.Column:
 
 
 def interpolate(df: DataFrame, cols, t: str = "time_s", key: str = "encounter_id", forward=False,
-                by: str = "position", seg_width: float = SEGMENT_S) -> DataFrame:
+                by: str = "position", seg_width: float = SEGMENT_S, keep_places: bool = False) -> DataFrame:
     """WIN-01/02: linear fill of interior gaps per encounter, in row order (``by='position'``,
     pandas' default) or by time (``by='time'``). ``forward`` (True, or the columns it applies
     to) also carries the last value to the tail; leading gaps stay null. Never crosses
-    encounters. All columns are filled in one pass.
+    encounters. All columns are filled in one pass. ``keep_places`` leaves each row's segment and position
+    for a further fill of the same rows by ``refill``.
     """
+    d = _seg(df, t, seg_width)
     cols = [cols] if isinstance(cols, str) else list(cols)
-    fwd = set(cols) if forward is True else set(forward or ())
     positional = by == "position"
-    d = _scan(_seg(df, t, seg_width), [key], t, cols, positional)
-    pos = F.col("_pos") if positional else F.col(t)
+    d = _filled_in(_scan(d, [key], t, cols, positional), cols, "_pos" if positional else t, forward)
+    if keep_places:
+        return d if positional else d.withColumn("_pos", F.col(t))
+    return d.drop("_seg", "_pos")
+
+
+def refill(d: DataFrame, cols: list[str], key: str = "encounter_id", forward=False) -> DataFrame:
+    """A second fill of rows that ``interpolate(..., keep_places=True)`` returned: they are dealt out and numbered
+    already, so only the summary of the new columns is made anew."""
+    return _filled_in(_scan(d, [key], "_pos", list(cols), False, dealt=True), list(cols), "_pos", forward).drop("_seg", "_pos")
+
+
+def _filled_in(d: DataFrame, cols: list[str], pos: str, forward) -> DataFrame:
+    fwd = set(cols) if forward is True else set(forward or ())
     for c in cols:
-        v = _blend(c, pos)
-        if c in fwd:
-            v = F.coalesce(v, F.col(f"{c}__pv"))
-        d = d.withColumn(c, v)
-    drop = [f"{c}__{s}" for c in cols for s in ("pv", "pp", "nv", "np")] + ["_seg", "_pos"]
-    return d.drop(*[c for c in drop if c in d.columns])
+        v = _blend(c, F.col(pos))
+        d = d.withColumn(c, F.coalesce(v, F.col(f"{c}__pv")) if c in fwd else v)
+    return d.drop(*[f"{c}__{s}" for c in cols for s in ("pv", "pp", "nv", "np")])
 
 
 def asof_interpolate(targets: DataFrame, reference, t: str = "time_s", key: str = "encounter_id",
                      value: str = "value", out: str = "interp", seg_width: float = SEGMENT_S) -> DataFrame:
     """JOIN-08: evaluate irregular series at each target row's time.
 
-    ``reference`` is one DataFrame (result column ``out``) or a dict ``{out: DataFrame}``;
-    several series are handled in one union and one pass. Linear in time between the
+    ``reference`` is one DataFrame (result column ``out``), a dict ``{out: DataFrame}``, or a pair of one DataFrame and
+    ``{out: condition}`` for series that are rows of the same frame, which is then read once for all of them. Linear in time between the
     neighbouring points; before the first point the series' minimum, after the last its
-    maximum; a single point is a constant; no point gives null. Points at one time are
-    averaged first.
+    maximum; a single point is a constant; no point gives null. Points at one time are averaged first.
+
+    Points and target times meet in one aggregate by (encounter, time); one scan over its segments gives neighbours and
+    totals of every series; the targets then take the values of their times.
     """
-    refs = reference if isinstance(reference, dict) else {out: reference}
-    ys = {o: f"_y_{i}" for i, o in enumerate(refs)}
-    tgt = targets.withColumn("_tgt", F.lit(True))
-    for y in ys.values():
-        tgt = tgt.withColumn(y, F.lit(None).cast("double"))
-    parts = []
-    for o, r in refs.items():
-        a = r.groupBy(key, t).agg(F.avg(value).alias(ys[o]))
-        for o2, y2 in ys.items():
-            if o2 != o:
-                a = a.withColumn(y2, F.lit(None).cast("double"))
-        parts.append(a.select(key, t, *ys.values()))
-    ref_all = reduce(lambda a, b: a.unionByName(b), parts)
-    stats = ref_all.groupBy(key).agg(*[e for y in ys.values() for e in (
-        F.min(y).alias(f"{y}__lo"), F.max(y).alias(f"{y}__hi"), F.count(y).alias(f"{y}__n"))])
-    both = tgt.unionByName(ref_all.withColumn("_tgt", F.lit(False)), allowMissingColumns=True)
-    d = _scan(_seg(both, t, seg_width), [key], t, list(ys.values()), False).where(F.col("_tgt"))
-    d = d.join(stats, key, "left")
-    for o, y in ys.items():
-        pv, pp, nv, np_ = (F.col(f"{y}__{s}") for s in ("pv", "pp", "nv", "np"))
-        n, lo, hi = F.col(f"{y}__n"), F.col(f"{y}__lo"), F.col(f"{y}__hi")
-        v = (F.when(n.isNull() | (n == 0), F.lit(None).cast("double"))
-              .when((n == 1) | pp.isNull(), lo)
-              .when(np_.isNull(), hi)
-              .when(np_ == pp, pv)
-              .otherwise(pv + (nv - pv) * (F.col(t) - pp) / (np_ - pp)))
-        d = d.withColumn(o, v)
-    return d.select(*targets.columns, *refs.keys())
+    rows = lambda df, ys: df.select(key, t, *ys)
+    times = lambda n: targets.select(key, t, *[F.lit(None).cast("double").alias(f"_y{i}") for i in range(n)])
+    if isinstance(reference, tuple):
+        frame, conditions = reference
+        outs = list(conditions)
+        used = reduce(lambda a, b: a | b, conditions.values())
+        points = rows(frame.where(used), [F.when(c, F.col(value)).cast("double").alias(f"_y{i}") for i, c in enumerate(conditions.values())])
+    else:
+        refs = reference if isinstance(reference, dict) else {out: reference}
+        outs = list(refs)
+        points = reduce(lambda a, b: a.unionByName(b), [
+            rows(r, [(F.col(value) if i == j else F.lit(None)).cast("double").alias(f"_y{j}") for j in range(len(refs))]) for i, r in enumerate(refs.values())])
+    ys = [f"_y{i}" for i in range(len(outs))]
+    grid = points.unionByName(times(len(outs))).groupBy(key, t).agg(*[F.avg(y).alias(y) for y in ys])
+    d = _scan(_seg(grid, t, seg_width), [key], t, ys, False, totals=True)
+    found = []
+    for o, y in zip(outs, ys, strict=True):
+        pv, pp, nv, np_, n, lo, hi = (F.col(f"{y}__{s}") for s in ("pv", "pp", "nv", "np", "n", "lo", "hi"))
+        found.append(F.when(n == 0, F.lit(None).cast("double"))
+                     .when((n == 1) | pp.isNull(), lo)
+                     .when(np_.isNull(), hi)
+                     .when(np_ == pp, pv)
+                     .otherwise(pv + (nv - pv) * (F.col(t) - pp) / (np_ - pp)).alias(o))
+    return targets.join(d.select(key, t, *found), [key, t], "left").select(*targets.columns, *outs)
 
 
 def rebase(df: DataFrame, col: str = "hour", key: str = "encounter_id", out: str | None = None) -> DataFrame:

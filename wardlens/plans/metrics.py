@@ -18,6 +18,7 @@ from wardlens.session import materialize
 from wardlens.operators import summary as SM
 from wardlens.operators import tidy as TD
 from wardlens.operators import timeseries as TS
+from wardlens.sources.dataset import filter_isin
 
 HGB_NAMES = ["HEMOGLOBIN", "HEMOGLOBIN ARTERIAL", "HEMOGLOBIN VENOUS"]
 
@@ -41,6 +42,7 @@ class Metric:
     def __init__(self, db, encounter_id=None):
         self.db = db
         self.encounter_id = encounter_id  # list or DataFrame of ids; None = every encounter
+        self.shared: dict[str, DataFrame] = {}  # source -> rows fetched for several metrics at once
 
     def __repr__(self):
         return self.classname
@@ -62,9 +64,8 @@ class Metric:
         """MET-01: required signals in tidy form, only encounters present in every source."""
         ids = self.encounter_id if encounter_id is None else encounter_id
         parts = []
-        for source, names in self.REQUIRES.items():
-            t = self.db.table(source)
-            raw = t.sel(**{t.search_col: names, "encounter_id": ids})
+        for source in self.REQUIRES:
+            raw = self.selection(source, ids)
             if source == "labs":
                 parts.append(TD.tidy_labs(self.after_labs_sel(raw)))
             elif source == "flowsheet":
@@ -80,6 +81,14 @@ class Metric:
             df = df.withColumn("name", TD.recode("name", self.RENAME))
         return df
 
+    def selection(self, source: str, ids) -> DataFrame:
+        """Rows of a source with this metric's names: out of the shared fetch if there is one, else from the source."""
+        t, names = self.db.table(source), self.REQUIRES[source]
+        if source not in self.shared:
+            return t.sel(**{t.search_col: names, "encounter_id": ids})
+        rows = self.shared[source].where(F.col(t.search_col).isin(list(names)))
+        return rows if ids is self.encounter_id else filter_isin(rows, encounter_id=ids)
+
     def db_sample(self, n: int, seed: int = 42) -> DataFrame:
         """SMP-01: all fetched rows of ``n`` encounters chosen by a seeded hash."""
         return SM.sample_ids(self.db_fetch(), n, seed)
@@ -122,11 +131,10 @@ def o2_content_on(grid: DataFrame, sat: DataFrame, hgb: DataFrame, label: str, p
 def o2_contents(c: DataFrame, arterial_sat, venous_sat) -> DataFrame:
     """CaO2 and CvO2 rows in one as-of pass: both saturation kinds are targets, and
     haemoglobin, arterial and venous PO2 are three reference series of the same union."""
-    t = (c.where(arterial_sat).select("encounter_id", "time_s", F.col("value").alias("_sat"), F.lit("CaO2").alias("name"))
-         .unionByName(c.where(venous_sat).select("encounter_id", "time_s", F.col("value").alias("_sat"), F.lit("CvO2").alias("name"))))
-    p = TS.asof_interpolate(t, {"_h": c.where(F.col("name").isin(HGB_NAMES)),
-                                "_pa": c.where(F.col("name").contains("PO2 ARTERIAL")),
-                                "_pv": c.where(F.col("name").contains("PO2 VENOUS"))})
+    kinds = F.array_compact(F.array(F.when(arterial_sat, "CaO2"), F.when(venous_sat, "CvO2")))
+    t = c.where(arterial_sat | venous_sat).select("encounter_id", "time_s", F.col("value").alias("_sat"), F.explode(kinds).alias("name"))
+    p = TS.asof_interpolate(t, (c, {"_h": F.col("name").isin(HGB_NAMES), "_pa": F.col("name").contains("PO2 ARTERIAL"),
+                                    "_pv": F.col("name").contains("PO2 VENOUS")}))
     po2 = F.when(F.col("name") == "CaO2", F.col("_pa")).otherwise(F.col("_pv"))
     return p.select("encounter_id", "time_s", "name",
                     o2_content("_sat", "_h", F.coalesce(po2, F.lit(0.0))).alias("value"))
@@ -155,7 +163,8 @@ def _filled(g: DataFrame, cols: list[str], forward=()) -> DataFrame:
     """``f_<col>``: the columns with interior gaps filled on the hour grid; the raw ones stay as they are."""
     for c in cols:
         g = g.withColumn(f"f_{c}", F.col(c))
-    return TS.interpolate(g, [f"f_{c}" for c in cols], t="hour", forward=list(forward), seg_width=GRID_SEGMENT_H)
+    return TS.interpolate(g, [f"f_{c}" for c in cols], t="hour", forward=list(forward), seg_width=GRID_SEGMENT_H,
+                          keep_places=True)
 
 
 class OxygenContent(Metric):
@@ -188,8 +197,7 @@ class OxygenDelivery(Metric):
     def get_components(self, sample=None) -> DataFrame:
         """Grid on 0.1 h: mean CCO, CCI and CaO2 per (encounter, hour)."""
         c = self.components(sample)
-        ca = o2_content_at(c.where(F.col("name").contains("O2SAT ARTERIAL")), c.where(F.col("name").isin(HGB_NAMES)),
-                           c.where(F.col("name").contains("PO2 ARTERIAL")), "CaO2")
+        ca = o2_contents(c, F.col("name").contains("O2SAT ARTERIAL"), F.lit(False))
         co = c.where(F.col("name").isin("CCO", "CCI"))
         rows = ca.unionByName(co)
         keep = _has(rows, {"_cc": F.col("name").contains("CC"), "_ca": F.col("name") == "CaO2"})
@@ -200,9 +208,9 @@ class OxygenDelivery(Metric):
     def compute(self, sample=None, with_components: bool = False) -> DataFrame:
         """MET-05: DO2 = 10 * CCO * CaO2 and DO2_I = 10 * CCI * CaO2, long form."""
         g = self.get_components(sample)
-        g = _filled(g, ["CCO", "CCI", "CaO2"], forward=["f_CaO2"])
+        g = _filled(g, ["CCO", "CCI", "CaO2"], forward=["f_CaO2"])  # rows stay dealt out for the fill of the products
         g = g.withColumn("DO2", 10 * F.col("f_CCO") * F.col("f_CaO2")).withColumn("DO2_I", 10 * F.col("f_CCI") * F.col("f_CaO2"))
-        g = TS.interpolate(g, ["DO2", "DO2_I"], t="hour", forward=True, seg_width=GRID_SEGMENT_H)
+        g = TS.refill(g, ["DO2", "DO2_I"], forward=True)
         cols = ["CCO", "CCI", "CaO2", "DO2", "DO2_I"] if with_components else ["DO2", "DO2_I"]
         return _long(g, cols).withColumn("time_s", F.round(F.col("hour") * HOUR_S).cast("bigint"))
 
@@ -229,7 +237,7 @@ class OxygenConsumption(Metric):
         g = _filled(self.prep(sample), ["CCO", "CCI", "CaO2", "CvO2"])
         cd = F.col("f_CaO2") - F.col("f_CvO2")
         g = g.withColumn("VO2", 10 * F.col("f_CCO") * cd).withColumn("VO2_I", 10 * F.col("f_CCI") * cd)
-        g = TS.interpolate(g, ["VO2", "VO2_I"], t="hour", forward=True, seg_width=GRID_SEGMENT_H)
+        g = TS.refill(g, ["VO2", "VO2_I"], forward=True)
         cols = ["CCO", "CCI", "CaO2", "CvO2", "VO2", "VO2_I"] if with_components else ["VO2", "VO2_I"]
         return _long(g, cols).withColumn("time_s", (F.col("hour") * HOUR_S).cast("bigint"))
 
@@ -250,9 +258,9 @@ class CardiacPower(Metric):
     def compute(self, sample=None, with_components: bool = False) -> DataFrame:
         """MET-07: (MAP - CVP) * CCO / 451, MAP and CVP interior-filled, result interior-filled."""
         g = self.prep(sample).withColumn("f_map", F.col("`A-LINE MAP`")).withColumn("f_cvp", F.col("CVP"))
-        g = TS.interpolate(g, ["f_map", "f_cvp"])
+        g = TS.interpolate(g, ["f_map", "f_cvp"], keep_places=True)
         g = g.withColumn("Cardiac Power", (F.col("f_map") - F.col("f_cvp")) * F.col("CCO") / 451.0)
-        g = TS.interpolate(g, ["Cardiac Power"]).drop("f_map", "f_cvp")
+        g = TS.refill(g, ["Cardiac Power"]).drop("f_map", "f_cvp")
         if with_components:
             return g
         return g.select("encounter_id", "time_s", F.col("`Cardiac Power`").alias("value"),
@@ -270,9 +278,9 @@ class VentricularStrokeWorkIndex(CardiacPower):
         g = self.prep(sample).withColumnRenamed("RVSWI", "_rvswi_in")
         f = TS.interpolate(g.select("encounter_id", "time_s", "CCI", "PULSE", "`PAP (MEAN)`", "CVP")
                            .withColumnsRenamed({"CCI": "_cci", "PULSE": "_pulse", "PAP (MEAN)": "_pap"}),
-                           ["_cci", "_pulse", "_pap"])
+                           ["_cci", "_pulse", "_pap"], keep_places=True)
         f = f.withColumn("SVi", safe_div("_cci", "_pulse")).withColumn("RVSWI", (F.col("_pap") - F.col("CVP")) * F.col("SVi"))
-        f = TS.interpolate(f.select("encounter_id", "time_s", "SVi", "RVSWI"), ["RVSWI"])
+        f = TS.refill(f.select("encounter_id", "time_s", "SVi", "RVSWI", "_seg", "_pos"), ["RVSWI"])
         if with_components:
             return g.join(f, ["encounter_id", "time_s"], "left")
         return f.select("encounter_id", "time_s", F.col("RVSWI").alias("value"), F.lit("RVSWI").alias("name"))
@@ -355,7 +363,7 @@ def metric_report(co, frames, on: str = "q12h", lo: int | None = None, hi: int |
 
 def add_continuous_metric(co, metric_cls) -> Metric:
     """MET-02: attach a metric bound to the cohort's encounters."""
-    m = metric_cls(co.db, encounter_id=co.eid)
+    m = metric_cls(co.db, encounter_id=co.eid)  # the very frame, by which a shared fetch knows the cohort
     if not hasattr(co, "metrics"):
         co.metrics = type("CohortMetrics", (), {"metrics": []})()
     co.metrics.metrics.append(m)
@@ -363,6 +371,43 @@ def add_continuous_metric(co, metric_cls) -> Metric:
     return m
 
 
-def compute_metrics(co, sample=None) -> dict[str, DataFrame]:
-    """MET-02: the result of every metric attached to the cohort, by class name, in the order of attaching."""
-    return {m.classname: m.compute(sample) for m in co.metrics.metrics}
+class BaseExcess(Metric):
+    """The measured venous base excess as a series of its own."""
+
+    classname, shortname = "BaseExcess", "BE"
+    REQUIRES = {"labs": ["BASE EXCESS VENOUS"]}
+
+    def compute(self, sample=None, with_components: bool = False) -> DataFrame:
+        return self.components(sample, reread=False)
+
+
+def share_fetch(metrics: list[Metric]) -> None:
+    """MET-01: one selection per source for all metrics of a cohort, written once and masked by each metric.
+
+    Metrics must be bound to the same encounters. The rows are sorted by name within their files, so that a metric's mask
+    skips the row groups of other names.
+    """
+    if len({id(m.encounter_id) for m in metrics}) > 1:
+        raise ValueError("metrics of one fetch need the same encounters")
+    names: dict[str, list[str]] = {}
+    for m in metrics:
+        for source, wanted in m.REQUIRES.items():
+            names.setdefault(source, []).extend(wanted)
+    shared = {}
+    for source, wanted in names.items():
+        t = metrics[0].db.table(source)
+        rows = t.sel(**{t.search_col: list(dict.fromkeys(wanted)), "encounter_id": metrics[0].encounter_id})
+        shared[source] = materialize(rows.sortWithinPartitions(t.search_col))
+    for m in metrics:
+        m.shared = shared
+
+
+def compute_metrics(co, sample=None, shared: bool = True) -> dict[str, DataFrame]:
+    """MET-02: the result of every metric attached to the cohort, by class name, in the order of attaching.
+
+    Each source is read once for all of them; ``shared=False`` lets every metric fetch for itself.
+    """
+    metrics = co.metrics.metrics
+    if shared and len(metrics) > 1:
+        share_fetch(metrics)
+    return {m.classname: m.compute(sample) for m in metrics}

@@ -61,6 +61,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+#: Tables that ``materialize`` has written in this process and that ``release`` has not removed.
+WRITTEN: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Remove the tables that ``materialize`` wrote; results that still read them must have been used before."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    paths = [spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in WRITTEN]
+    removed = sum(p.getFileSystem(hadoop).delete(p, True) for p in paths)
+    WRITTEN.clear()
+    return removed
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut a long lineage by writing a Parquet table under the shared checkpoint folder.
 
@@ -71,4 +84,5 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = os.path.join(checkpoint_dir(spark), f"wardlens-mat-{uuid.uuid4().hex}")
     df.write.mode("errorifexists").parquet(path)
+    WRITTEN.append(path)
     return spark.read.parquet(path)
