@@ -125,26 +125,47 @@ AKI_LABELS = {
     0: "No AKI",
 }
 
+# Monitor, ventilator and infusion name groups of the flowsheet and the laboratory.
+CIRCULATORY = ["Pulse", "CVP", "MAP (mmHg)", "A-line MAP ", "A-line 2 MAP ", "Cardiac Output", "PAP (Mean)"]
+ICU_MONITORS = ["Cardiac Output", "SVO2 (%)", "SVR (dyne*sec)/cm5", "SVRI (dyne*sec)/cm5", "PVRI (dyne*sec)/cm5", "PVR (dyne*sec)/cm5"]
+SWAN_MONITORS = ["SVO2 (%)", "CCI", "CCO", "SQI", "SVI"]
+FLOW_OXYGENATION = ["SPO2", "SVO2 (%)"]
+VENTILATION = ["ETCO2", "Resp", "Vital Capacity (mls)", " Vt (mL/kg)", "Set Ve (L/min)", "Ve (L/min)"]
+VENTILATOR_SETTINGS = ["SET VE (L/MIN)", "SET INSP PRESS (CMH2O)", "I:E RATIO"]
+BASIC_MONITORS = ["SPO2", "TEMP", "PULSE", "HR (ECG)"]
+LAB_OXYGENATION = ["O2SAT Arterial Measured", "PCO2 ARTERIAL", "PO2 ARTERIAL", "PO2 Venous", "O2SAT Venous Measured"]
+PARALYTICS = ["VOLUME (ML) CISATRACURIUM", "VOLUME (ML) VECURONIUM", "VOLUME (ML) ROCURONIUM"]
+NARCOTICS = ["VOLUME (ML) HYDROMORPHONE", "VOLUME (ML) FENTANYL", "VOLUME (ML) MORPHINE"]
+ANXIOLYTICS = ["VOLUME (ML) MIDAZOLAM", "VOLUME (ML) LORAZEPAM"]
+
+# set -> (table whose codes or names it lists, exact or prefix, values)
 CODE_SETS = {
-    "room_codes": ("exact", ROOM_CODES),
-    "icu_codes": ("exact", ICU_CODES),
-    "or_room_codes": ("exact", OR_ROOM_CODES),
-    "cabg_names": ("exact", CABG_NAMES),
-    "aortic_names": ("exact", AORTIC_NAMES),
-    "valve_surgeries": ("exact", VALVE_SURGERIES),
-    "cad": ("exact", CAD_ICD10),
-    "stroke": ("exact", STROKE_ICD10),
-    "liver_disease": ("prefix", LIVER_DISEASE_PREFIXES),
-    "renal_failure": ("prefix", RENAL_FAILURE_PREFIXES),
+    "room_codes": ("procedures", "exact", ROOM_CODES),
+    "icu_codes": ("procedures", "exact", ICU_CODES),
+    "or_room_codes": ("procedures", "exact", OR_ROOM_CODES),
+    "cabg_names": ("procedures", "exact", CABG_NAMES),
+    "aortic_names": ("procedures", "exact", AORTIC_NAMES),
+    "valve_surgeries": ("procedures", "exact", VALVE_SURGERIES),
+    "cad": ("diagnosis", "exact", CAD_ICD10),
+    "stroke": ("diagnosis", "exact", STROKE_ICD10),
+    "liver_disease": ("diagnosis", "prefix", LIVER_DISEASE_PREFIXES),
+    "renal_failure": ("diagnosis", "prefix", RENAL_FAILURE_PREFIXES),
+    "circulatory": ("flowsheet", "exact", CIRCULATORY),
+    "icu_monitors": ("flowsheet", "exact", ICU_MONITORS),
+    "swan_monitors": ("flowsheet", "exact", SWAN_MONITORS),
+    "flow_oxygenation": ("flowsheet", "exact", FLOW_OXYGENATION),
+    "ventilation": ("flowsheet", "exact", VENTILATION),
+    "ventilator_mode": ("flowsheet", "exact", VENT_MODE_NAMES),
+    "ventilator_settings": ("flowsheet", "exact", VENTILATOR_SETTINGS),
+    "basic_monitors": ("flowsheet", "exact", BASIC_MONITORS),
+    "paralytics": ("flowsheet", "exact", PARALYTICS),
+    "narcotics": ("flowsheet", "exact", NARCOTICS),
+    "anxiolytics": ("flowsheet", "exact", ANXIOLYTICS),
+    "lab_oxygenation": ("labs", "exact", LAB_OXYGENATION),
 }
 
 
-def code_sets(spark: SparkSession) -> DataFrame:
-    """All code sets as one small table ``(set_name, code, match)``."""
-    rows = [(name, code, match) for name, (match, codes) in CODE_SETS.items() for code in codes]
-    return spark.createDataFrame(rows, "set_name string, code string, match string")
-
-
-def code_set(spark: SparkSession, name: str) -> DataFrame:
-    match, codes = CODE_SETS[name]
-    return spark.createDataFrame([(c,) for c in codes], "code string")
+def code_sets(spark: SparkSession, kind: str | None = None) -> DataFrame:
+    """The library's sets as one small table ``(set_name, code, match, kind)``, or those of one kind of table."""
+    rows = [(name, code, match, k) for name, (k, match, codes) in CODE_SETS.items() for code in codes if kind in (None, k)]
+    return spark.createDataFrame(rows, "set_name string, code string, match string, kind string")

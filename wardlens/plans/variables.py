@@ -233,6 +233,6 @@ def stroke(co) -> DataFrame:
 
 def comorbidity(co, set_name: str = "liver_disease") -> DataFrame:
     """CL-26: any ICD-10 code starting with one of the set's prefixes, as 0/1."""
-    match, prefixes = CS.CODE_SETS[set_name]
+    _, _, prefixes = CS.CODE_SETS[set_name]
     cond = reduce(lambda a, b: a | b, [F.col("Code").startswith(p) for p in prefixes])
     return _dx_flag(co, cond, set_name, as_int=True)
