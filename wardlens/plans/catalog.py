@@ -305,6 +305,41 @@ LEFT JOIN v_death m ON r.encounter_id = m.encounter_id LEFT JOIN v_vent v ON r.e
 LEFT JOIN v_icu i ON r.encounter_id = i.encounter_id""", *_VAR_ALL, extra=_AT_EXTRA))(
     lambda spark, sf: cohort(spark, sf).table1())
 
+# --- code sets as a table (CL-26, SETD-01..08) ------------------------------------------------------------------
+
+from wardlens.plans import comorbidity as CM  # noqa: E402
+
+
+def _code_test(kind: str, codes) -> str:
+    return " OR ".join(f"starts_with(Code, '{c}')" if kind == "prefix" else f"Code = '{c}'" for c in codes)
+
+
+_DX_SETS = {n: (m, codes) for n, (k, m, codes) in CS.CODE_SETS.items() if k == "diagnosis"}
+register("comorbidity_all", with_ctes(
+    "SELECT encounter_id, set_name, max(flag) AS flag FROM (" + " UNION ALL ".join(
+        f"SELECT e.encounter_id, '{n}' AS set_name, CASE WHEN e.person_id IN (SELECT person_id FROM dx_c WHERE {_code_test(*v)}) THEN 1 ELSE 0 END AS flag FROM einfo e"
+        for n, v in _DX_SETS.items()) + ") f GROUP BY 1, 2", "einfo", "dx_c"))(
+    lambda spark, sf: CM.comorbidity_all(cohort(spark, sf)))
+
+
+def _dictionary_sets(spark, sf):
+    """A large user table: every part, by its first type and size, names a code set of the codes' leading parts."""
+    db = ds(spark, sf)
+    own = db.diagnosis.df.select(F.concat(F.lit("group "), F.left("Code", F.lit(1))).alias("set_name"), F.left("Code", F.lit(3)).alias("code"), F.lit("prefix").alias("match"))
+    exact = db.diagnosis.df.select(F.concat(F.lit("code "), "Code").alias("set_name"), F.col("Code").alias("code"), F.lit("exact").alias("match"))
+    return CM.match_codes(db.diagnosis.sel(), own.union(exact).distinct())
+
+
+register("dx_user_sets", with_ctes(
+    "SELECT DISTINCT person_id, 'group ' || left(Code, 1) AS set_name FROM dx_c WHERE Code <> '' UNION SELECT DISTINCT person_id, 'code ' || Code FROM dx_c WHERE Code <> ''",
+    "dx_c"))(_dictionary_sets)
+
+_MONITOR_SETS = {n: codes for n, (k, _, codes) in CS.CODE_SETS.items() if k == "flowsheet"}
+register("monitor_groups", with_ctes(" UNION ALL ".join(
+    f"SELECT encounter_id, '{n}' AS set_name, CAST(count(*) AS BIGINT) AS rows, CAST(count(DISTINCT display_name) AS BIGINT) AS names "
+    f"FROM flow_c WHERE display_name IN {_lst(sorted({c.upper() for c in codes}))} GROUP BY 1" for n, codes in _MONITOR_SETS.items()), "flow_c"))(
+    lambda spark, sf: CM.name_group_counts(ds(spark, sf).flowsheet, CS.code_sets(spark, "flowsheet")))
+
 # --- pivots, melts, binning (AGG-03..06, PRJ-15, WIN-04..08) ------------------------------------------------------
 
 from wardlens.operators import summary as SM  # noqa: E402
@@ -772,9 +807,9 @@ register("blood_gas_bins", with_ctes(_pivot_sql(
 
 def _report(spark, sf, lo=None, hi=None):
     co = cohort(spark, sf)
-    cp = MT.add_continuous_metric(co, MT.CardiacPower).compute()
-    rv = MT.add_continuous_metric(co, MT.VentricularStrokeWorkIndex).compute()
-    return MT.metric_report(co, [cp, rv], lo=lo, hi=hi).withColumn("value", r6("value"))
+    for m in (MT.CardiacPower, MT.VentricularStrokeWorkIndex):
+        MT.add_continuous_metric(co, m)
+    return MT.metric_report(co, MT.compute_metrics(co).values(), lo=lo, hi=hi).withColumn("value", r6("value"))
 
 
 _REPORT_SQL = """
@@ -798,9 +833,9 @@ register("metric_report_range", with_ctes(_REPORT_SQL + " HAVING a.btime BETWEEN
 def _report_all(spark, sf):
     """Mean per half-day bin of oxygen consumption and delivery, cardiac power, stroke work and base excess."""
     co = cohort(spark, sf)
-    frames = [MT.add_continuous_metric(co, m).compute()
-              for m in (MT.OxygenConsumption, MT.OxygenDelivery, MT.CardiacPower, MT.VentricularStrokeWorkIndex)]
-    return MT.metric_report(co, [*frames, co.labs(["BASE EXCESS VENOUS"])]).withColumn("value", r6("value"))
+    for m in (MT.OxygenConsumption, MT.OxygenDelivery, MT.CardiacPower, MT.VentricularStrokeWorkIndex, MT.BaseExcess):
+        MT.add_continuous_metric(co, m)
+    return MT.metric_report(co, MT.compute_metrics(co).values()).withColumn("value", r6("value"))
 
 
 def _nested(body: str, ctes: dict) -> str:
@@ -948,7 +983,9 @@ import uuid  # noqa: E402
 
 from wardlens.session import checkpoint_dir  # noqa: E402
 from wardlens.sources import sinks as SK  # noqa: E402
-from wardlens.streaming.flowsheet_etl import run_flowsheet_stream  # noqa: E402
+from wardlens.sources.dataset import load_table  # noqa: E402
+from wardlens.sources.loader import register_parquet_loader  # noqa: E402
+from wardlens.streaming.flowsheet_etl import read_flowsheet_stream, run_flowsheet_stream  # noqa: E402
 
 
 def _scratch(spark, tag: str) -> str:
@@ -1019,7 +1056,7 @@ def _dumped(table: str):
     def run(spark, sf):
         co = cohort(spark, sf)
         d = _scratch(spark, "dump")
-        SK.dump_tables(co, d)
+        SK.dump_tables(co, d, tables=[table])
         schema = (co.encounter_info if table == "encounters" else co.db.table(table).sel()).schema
         return spark.read.schema(schema).option("header", True).csv(os.path.join(d, SK.LAYOUTS["swan"][table]))
     return run
@@ -1033,6 +1070,24 @@ register("dump_cohort_procedures", with_ctes(
     f"SELECT * FROM proc WHERE order_name IN {_lst(CS.ICU_CODES + CS.ROOM_CODES + CS.CABG_NAMES)} AND encounter_id IN (SELECT encounter_id FROM eid)",
     "eid", "proc"))(_dumped("procedures"))
 
+def _export_manifest(spark, sf):
+    """Rows per required name of the cohort's export, with the names of an attached metric."""
+    co = cohort(spark, sf)
+    co.add_continuous_metric(MT.CardiacPower)
+    d = _scratch(spark, "export")
+    SK.dump_tables(co, d)
+    return SK.read_manifest(spark, d)
+
+
+_MANIFEST_NAMES = {"labs": ("labs_c", "lab_component_name", ["CREATININE SERUM", "TROPONIN I"]),
+                   "flowsheet": ("flow_c", "display_name", MT.CardiacPower.REQUIRES["flowsheet"]),
+                   "procedures": ("proc", "order_name", list(dict.fromkeys(CS.ICU_CODES + CS.ROOM_CODES + CS.CABG_NAMES)))}
+register("export_manifest", with_ctes(
+    "SELECT 'encounters' AS \"table\", '' AS name, CAST(count(*) AS BIGINT) AS rows FROM einfo" + "".join(f"""
+UNION ALL SELECT '{t}', n.name, CAST(count(c.encounter_id) AS BIGINT) FROM (SELECT unnest([{_lst(names)[1:-1]}]) AS name) n
+LEFT JOIN (SELECT * FROM {cte} WHERE encounter_id IN (SELECT encounter_id FROM eid)) c ON c.{col} = n.name GROUP BY n.name"""
+    for t, (cte, col, names) in _MANIFEST_NAMES.items()), "eid", "labs_c", "flow_c", "proc"))(_export_manifest)
+
 _ETL_SQL = with_ctes("""
 SELECT encounter_id, CAST(flowsheet_days_since_birth AS INT) AS flowsheet_days_since_birth, flowsheet_time, flowsheet_value,
   upper(display_name) AS display_name FROM flowsheet_v
@@ -1051,15 +1106,29 @@ def _etl(spark, sf):
 
 
 def _etl_stream(spark, sf):
-    out = run_flowsheet_stream(spark, _raw_flowsheet_csv(spark, sf), _scratch(spark, "flow-stream"),
-                               _scratch(spark, "flow-stream-ckpt"))
-    return spark.read.parquet(out)
+    """Two deliveries of the extract, one with its columns in reverse order."""
+    src, rows = _scratch(spark, "flow-csv"), ds(spark, sf).flowsheet.df
+    odd = F.col("encounter_id") % 2 == 1
+    SK.csv_writer(rows.where(odd)).csv(src)
+    SK.csv_writer(rows.where(~odd | F.col("encounter_id").isNull()).select(*reversed(rows.columns))).mode("append").csv(src)
+    out = run_flowsheet_stream(spark, src, _scratch(spark, "flow-stream"), _scratch(spark, "flow-stream-ckpt"))
+    return read_flowsheet_stream(spark, out)
 
 
 register("flowsheet_etl", _ETL_SQL)(_etl)
 register("flowsheet_stream_etl", _ETL_SQL)(_etl_stream)
 
 
+def _loaded(spark, sf):
+    """A driver table through a registered loader: row groups as partitions, equality on the status handed to the loader."""
+    register_parquet_loader(spark, "wardlens_parquet", "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderpriority string")
+    return load_table(spark, sf, "orders.parquet", fmt="wardlens_parquet").where("o_orderstatus = 'F' AND o_orderpriority IN ('1-URGENT', '2-HIGH')")
+
+
+register("loader_read", "SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderstatus = 'F' "
+         "AND o_orderpriority IN ('1-URGENT', '2-HIGH')")(_loaded)
+
+
 def _aki_outcome(spark, sf):
     co = cohort(spark, sf)
     return MT.PostOpAKI(co.db, encounter_id=co.eid, offset=co.offset).compute()

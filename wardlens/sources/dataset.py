@@ -336,9 +336,20 @@ def open_table(spark: SparkSession, csv_path: str, meta: TableMeta, cached: bool
     return Table(meta, df, source, os.path.splitext(csv_path)[0])
 
 
+def header_of(spark: SparkSession, path: str) -> list[str]:
+    """Column names of a CSV (of the first file, if it is a folder)."""
+    return spark.read.option("header", True).option("escape", '"').csv(path).columns
+
+
+def read_csv_text(spark: SparkSession, paths: str | list[str], header: list[str]) -> DataFrame:
+    """All columns as text. Every file must have this very header: one in another order raises instead of giving wrong columns."""
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
+    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("escape", '"').csv(paths)
+
+
 def read_csv(spark: SparkSession, path: str, meta: TableMeta) -> DataFrame:
     """Columns are bound by header name; quotes inside quoted text are doubled."""
-    return conform(spark.read.option("header", True).option("escape", '"').csv(path), meta.schema)
+    return conform(read_csv_text(spark, path, header_of(spark, path)), meta.schema)
 
 
 def load_table(spark: SparkSession, data_dir: str, file_name: str, fmt: str = "csv", **options) -> DataFrame:
