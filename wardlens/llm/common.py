@@ -6,6 +6,8 @@ import os
 import uuid
 
 from collections.abc import Callable
+from functools import wraps
+from inspect import signature
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,6 +68,29 @@ def own_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def other_columns_aside(*made: str, of: tuple[str, ...] = ("key", "text", "source")) -> Callable:
+    """Decorator of operators ``f(df, ...)`` that keep the columns they do not read.
+
+    Those are named out of the way while the operator runs, so that no column it makes inside can meet one of them, and named back in
+    its result. ``made`` are result columns, which replace existing ones (case-insensitive); ``of`` are the parameters that name read columns.
+    """
+    def wrap(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @wraps(f)
+        def run(df: DataFrame, *args, **kw) -> DataFrame:
+            call = signature(f).bind(df, *args, **kw)
+            call.apply_defaults()
+            read = {call.arguments[p] for p in of if p in call.arguments}
+            kept = [c for c in df.columns if c in read or c.lower() not in made]
+            name = {c: f"other__{i}" for i, c in enumerate(kept) if c not in read}
+            call.arguments["df"] = df.select(*[F.col(f"`{c}`").alias(name.get(c, c)) for c in kept])
+            if call.arguments.get("columns"):
+                call.arguments["columns"] = [name.get(c, c) for c in call.arguments["columns"]]
+            out, back = f(*call.args, **call.kwargs), {v: c for c, v in name.items()}
+            return out.toDF(*[back.get(c, c) for c in out.columns])
+        return run
+    return wrap
+
+
 def where_computed(df: DataFrame, condition: Column) -> DataFrame:
     """Rows that meet a condition on costly computed columns.
 

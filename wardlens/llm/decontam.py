@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardlens.llm.common import other_columns_aside
+
 #: Words are letters (lower-cased A-Z), digits and everything beyond ASCII; the rest separates.
 SEP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -131,6 +133,7 @@ def mark(df: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text
                     (F.col("n_hit") > 0).alias("contaminated"))
 
 
+@other_columns_aside()
 def decontaminate(df: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", remove: str = "documents", **names) -> DataFrame:
     """``df`` without contaminated rows, or (``remove='spans'``) with the hit words taken out of the texts.
 

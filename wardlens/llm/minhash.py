@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardlens.llm.common import bucket_components, store, with_ids
+from wardlens.llm.common import bucket_components, other_columns_aside, store, with_ids
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: A pair at similarity 0.8 misses all bands with probability (1 - 0.8**ROWS)**BANDS, 2e-6.
@@ -226,6 +226,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
         F.coalesce(own == F.coalesce("group_id", own), F.lit(True)).alias("keep"))
 
 
+@other_columns_aside()
 def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``df`` with one document of each group (see ``near_duplicates``), all columns; rows that repeat a kept key stay."""
     gone = near_duplicates(df, key, text).where("not keep").select(F.col(key).alias("gone_key__")).distinct()

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from wardlens.llm.common import hash60, n_words, own_name, store
+from wardlens.llm.common import hash60, n_words, other_columns_aside, own_name, store
 
 #: Hash bits looked at per refinement, and refinements; together all 60 bits.
 BITS, LEVELS = 12, 5
@@ -75,6 +75,7 @@ def thresholds(rows: DataFrame, targets: DataFrame) -> DataFrame:
     return state.select("source", "total", "target", F.least("passes", F.lit(2)).alias("passes"), cut.cast("long").alias("cut"))
 
 
+@other_columns_aside("size", "source_size", "target", "times", "taken")
 def mix(df: DataFrame, seed: int = 7, source: str = "source", key: str = "doc_id", text: str = "text", columns: list[str] | None = None) -> DataFrame:
     """Rows of ``df`` (or ``columns`` of it) with size, source_size, target, times and taken.
 

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardlens.llm.common import bounded_sample, words
+from wardlens.llm.common import bounded_sample, other_columns_aside, words
 
 #: Labelled rows used for learning, at most (those with the smallest hash of the key).
 SAMPLE_ROWS = 20_000
@@ -157,6 +157,7 @@ def verdict(rules: list[Rule]) -> Column:
     return F.lit(True) if out is None else out.otherwise(True)
 
 
+@other_columns_aside("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *FEATURES)
 def apply_rules(df: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
     """``df`` with its statistics and ``kept``: false where base_failed or a rule rejects."""
     s = statistics(df.drop(*[c for c in df.columns if c.lower() == "kept"]), text)

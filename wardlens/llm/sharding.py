@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from wardlens.llm.common import hash60, n_bytes, own_name, store
+from wardlens.llm.common import hash60, n_bytes, other_columns_aside, own_name, store
 
 #: Rows aimed at per ranking bucket.
 BUCKET_ROWS = 20_000
@@ -39,6 +39,7 @@ def _rank(df: DataFrame, key: list[str], bucket: Column, order: list[Column], ou
     return d.join(counts, on).withColumn(out, F.col("rn_") - 1 + F.col("off_")).drop(b, "rn_", "off_", "b__k", *[f"{k}__k" for k in key])
 
 
+@other_columns_aside(*RESULT)
 def shard(df: DataFrame, shards: int = 16, seed: int = 11, source: str = "source", key: str = "doc_id",
           text: str = "text", columns: list[str] | None = None) -> DataFrame:
     """Rows of ``df`` (or ``columns`` of it) with size, text_crc32, law, shard, slot, grown_shard.

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlens.llm.common import store
+from wardlens.llm.common import other_columns_aside, store
 
 THRESHOLD, DIGIT = 50, 20
 REACH = THRESHOLD - DIGIT + 1
@@ -327,6 +327,7 @@ def _finish(batches: Iterator[pa.RecordBatch], keep: list[str]) -> Iterator[pa.R
                                          names=[*keep, "kept", "n_bytes", "n_removed", "spans", "kept_sha256"])
 
 
+@other_columns_aside("kept", "n_bytes", "n_removed", "spans", "kept_sha256")
 def dedup_substrings(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``df`` without its text, with kept (binary), n_bytes, n_removed, spans and kept_sha256.
 
