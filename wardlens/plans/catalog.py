@@ -239,6 +239,10 @@ register("icu_days", with_ctes(f"""
 SELECT encounter_id, days_from_dob_procstart, CAST(count(person_id) AS BIGINT) AS icu_rows
 FROM ({_ROOMS(CS.ICU_CODES)}) i GROUP BY 1, 2""", "eid", "proc"))(lambda spark, sf: cohort(spark, sf).post_op_icu_days())
 
+register("icu_days_columns", with_ctes(f"""
+SELECT encounter_id, days_from_dob_procstart, CAST(count(person_id) AS BIGINT) AS person_id, CAST(count(order_name) AS BIGINT) AS order_name
+FROM ({_ROOMS(CS.ICU_CODES)}) i GROUP BY 1, 2""", "eid", "proc"))(lambda spark, sf: cohort(spark, sf).post_op_icu_days(all_columns=True))
+
 register("or_days", with_ctes(
     f"SELECT encounter_id, days_from_dob_procstart AS or_day, order_name FROM ({_ROOMS(CS.OR_ROOM_CODES)}) r",
     "eid", "proc"))(lambda spark, sf: cohort(spark, sf).or_days())

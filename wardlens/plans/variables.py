@@ -154,9 +154,12 @@ def bmi(co, height_unit: str | None = None) -> DataFrame:
     return co.eid.join(m, "encounter_id", "left").select("encounter_id", "bmi").distinct()
 
 
-def post_op_icu_days(co) -> DataFrame:
-    return (_room_rows(co, CS.ICU_CODES).groupBy("encounter_id", "days_from_dob_procstart")
-            .agg(F.count("person_id").alias("icu_rows")))
+def post_op_icu_days(co, all_columns: bool = False) -> DataFrame:
+    """CL-15: intensive-care charges per encounter-day; ``all_columns`` counts the known values of every other column instead."""
+    rows = _room_rows(co, CS.ICU_CODES)
+    keys = ["encounter_id", "days_from_dob_procstart"]
+    counts = [F.count(c).alias(c) for c in rows.columns if c not in keys] if all_columns else [F.count("person_id").alias("icu_rows")]
+    return rows.groupBy(*keys).agg(*counts)
 
 
 def ckd(co) -> DataFrame:
