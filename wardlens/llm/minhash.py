@@ -32,6 +32,9 @@ BITS_AGREE, BITS_FROM = 92, 64
 #: average (deviation 6.2, agreement by chance included); fewer than so many have a probability of 3e-7, and of 4e-6 in small sets
 #: where no other shingles agree by chance.
 NIBBLES, NIBBLES_AGREE = 256, 175
+#: Of them, members with at most so many distinct shingles carry these, and a pair of such members is told exactly where it meets:
+#: in a group that is dense around the threshold most pairs are just below it, and no signature of a bounded size keeps them apart.
+SET_SIZE = 256
 #: Characters at which str.split() would split beyond the ASCII white space of words.
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -188,13 +191,16 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
         alone = held.groupBy("shingle").agg(F.min("root").alias("root"), F.max("root").alias("most")).where("root = most").select("shingle")
         alone = held.join(alone, "shingle", "left_semi").groupBy("id").agg(F.countDistinct("shingle").alias("alone"))
         part = held.groupBy("id").agg(F.max("n").cast("long").alias("n")).join(alone, "id", "left")
+        small = held.where(F.col("n") <= SET_SIZE).groupBy("id").agg(F.collect_set("shingle").alias("set"))
+        part = part.join(small, "id", "left")
         bits = with_ids(classed.select("id", "size", "four"), ids, "id").distinct()
         texts = bits.groupBy("id").agg(F.count(F.lit(1)).alias("texts"))
         x = bits.join(texts, "id").join(part, "id")
         # The parts of a key with several texts are not known.
         size = F.when(F.col("texts") == 1, F.col("n")).otherwise(F.col("size"))
-        x = x.select("id", "four", size.alias("size"), (size - F.when(F.col("texts") == 1, F.coalesce("alone", F.lit(0))).otherwise(0)).alias("part"))
-        return x.where(F.col("part") >= SIMILARITY * F.col("size") - 1e-9).select("id", F.struct("size", "four", "part").alias("x"))
+        known = F.when((F.col("texts") == 1) & (F.size("set") == F.col("n")), F.col("set"))
+        x = x.select("id", "four", known.alias("set"), size.alias("size"), (size - F.when(F.col("texts") == 1, F.coalesce("alone", F.lit(0))).otherwise(0)).alias("part"))
+        return x.where(F.col("part") >= SIMILARITY * F.col("size") - 1e-9).select("id", F.struct("size", "four", "part", "set").alias("x"))
 
     def may_share(p: Column, q: Column) -> Column:
         # No pair shares more than the smaller of the two parts.
@@ -205,7 +211,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
             d = F.get(p["four"], F.lit(k)).bitwiseXOR(F.get(q["four"], F.lit(k)))
             d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
             differ += F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 2)).bitwiseAND(ones))
-        return (most >= SIMILARITY * (p["size"] + q["size"] - most) - 1e-9) & (differ <= NIBBLES - NIBBLES_AGREE)
+        # Named once, so that only pairs that pass the other tests compute it.
+        shared = F.size(F.array_intersect(p["set"], q["set"]))
+        exact = p["set"].isNull() | q["set"].isNull() | ((1 + SIMILARITY) * shared >= SIMILARITY * (p["size"] + q["size"]) - 1e-9)
+        return (most >= SIMILARITY * (p["size"] + q["size"] - most) - 1e-9) & (differ <= NIBBLES - NIBBLES_AGREE) & exact
 
     def verify(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
