@@ -140,7 +140,8 @@ def with_ids(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
 
 
 def bucket_components(rows: DataFrame, may: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame],
-                      closer: tuple[Callable[[DataFrame], DataFrame], Callable[[Column, Column], Column]] | None = None) -> DataFrame:
+                      closer: tuple[Callable[[DataFrame], DataFrame], Callable[[Column, Column], Column]] | None = None,
+                      by: tuple[str, ...] | list[str] = ("id", "key")) -> DataFrame:
     """(node, root): connected components of all similar pairs that share a bucket; members without a link are left out.
 
     ``rows`` has (key, id, x): bucket, member, and what the cheap test ``may`` reads of a member;
@@ -152,8 +153,9 @@ def bucket_components(rows: DataFrame, may: Callable[[Column, Column], Column],
 
     ``closer``, for these rounds, has a function from (id, root) of the members left to (id, x), a costlier x that is found from all
     of them, and the test that reads it; members that it leaves out are known to have no link to another component.
+    ``by``: what the order of leaders is hashed from.
     """
-    u = F.shiftrightunsigned(F.xxhash64("id", "key"), 11) / F.lit(2.0**53)
+    u = F.shiftrightunsigned(F.xxhash64(*by), 11) / F.lit(2.0**53)
     # Most keys are held by one member; they leave on their count alone, before members are dealt out.
     many = store(rows.groupBy("key").count().where("count > 1").select("key"), "keys")
     rows = store(with_ids(rows, many, "key"), "rows")
