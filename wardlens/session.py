@@ -61,16 +61,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-#: Tables that ``materialize`` has written in this process and that ``release`` has not removed.
+#: Intermediate tables that this process has written, in order, and that ``release`` has not removed.
 WRITTEN: list[str] = []
 
 
-def release(spark: SparkSession) -> int:
-    """Remove the tables that ``materialize`` wrote; results that still read them must have been used before."""
+def release(spark: SparkSession, first: int = 0, last: int | None = None) -> int:
+    """Remove the intermediate tables ``WRITTEN[first:last]``, by default all; results that still read them must have been used before."""
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    paths = [spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in WRITTEN]
+    paths = [spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in WRITTEN[first:last]]
     removed = sum(p.getFileSystem(hadoop).delete(p, True) for p in paths)
-    WRITTEN.clear()
+    del WRITTEN[first:last]
     return removed
 
 
