@@ -121,6 +121,19 @@ def test_marks_equal_brute_force(spark, monkeypatch):
     assert decontam.mark(df.limit(0), bench).count() == 0
 
 
+def test_bit_table_grows_with_the_benchmark(spark, monkeypatch):
+    sizes = [decontam.bit_words(n) for n in (0, 1, 1 << 14, (1 << 14) + 1, 100_000, 10**9)]
+    assert sizes == [1 << 14, 1 << 14, 1 << 14, 1 << 15, 1 << 17, 1 << 18]
+    bench, df = spark.createDataFrame(BENCH, "item_id long, text string"), frame(spark, docs_with_hits())
+    want = brute_marks(docs_with_hits(), BENCH)
+    # A full table lets every window pass, and a larger one moves its bits: the rows are the same.
+    for words, most, broadcast in ((1, 1, 1 << 20), (1, 1 << 18, 1 << 20), (1 << 17, 1 << 18, 0)):
+        monkeypatch.setattr(decontam, "BIT_WORDS", words)
+        monkeypatch.setattr(decontam, "MOST_WORDS", most)
+        monkeypatch.setattr(decontam, "BROADCAST_BYTES", broadcast)
+        assert rows_of(decontam.mark(df, bench), *MARKS) == want
+
+
 def test_contaminated_rows_or_spans_go(spark):
     bench = spark.createDataFrame(BENCH, "item_id long, text string")
     df = frame(spark, docs_with_hits()).withColumn("items", F.lit(1))

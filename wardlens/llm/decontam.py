@@ -1,8 +1,8 @@
 """Benchmark decontamination by a broadcast set of normalised n-grams, with DataFrame functions only.
 
 Benchmark items become a small table of distinct windows. Each training text is scanned once in
-its own row: hashes of all its token windows are tested against a fixed bit table made from the
-benchmark windows, and only the passing windows are spelled out and verified by an equality join on their words.
+its own row: hashes of all its token windows are tested against a bit table made from the
+benchmark windows and sized by their number, and only the passing windows are spelled out and verified by an equality join on their words.
 """
 
 from __future__ import annotations
@@ -16,10 +16,11 @@ from wardlens.llm.common import other_columns_aside
 SEP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WINDOW = 10
-#: Bits of the window test, as 64-bit words; its size does not depend on any table.
-BIT_WORDS = 1 << 14
-#: Above this many distinct benchmark windows the verifying join is left to Spark instead of broadcast.
-BROADCAST_GRAMS = 200_000
+#: 64-bit words of the window test: a power of two, one word at least for each distinct benchmark window (then one other window
+#: in 64 passes), within these bounds (128 KB to 2 MB). Beyond 262,144 windows more pass by chance; the verifying join tells them apart.
+BIT_WORDS, MOST_WORDS = 1 << 14, 1 << 18
+#: Above this many distinct benchmark windows, or bytes of them and their item ids, the verifying join is left to Spark instead of broadcast.
+BROADCAST_GRAMS, BROADCAST_BYTES = 200_000, 32 << 20
 
 
 def tokens(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -70,19 +71,24 @@ def benchmark_windows(bench: DataFrame, item: str = "item_id", text: str = "text
     return b.groupBy("len", "gram").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
-def _bit_table(grams: DataFrame, lengths: list[int]) -> Column:
-    """The test's bits as a constant array; at most BIT_WORDS numbers come to the driver."""
+def bit_words(windows: int) -> int:
+    """Words of the test for so many windows."""
+    return min(MOST_WORDS, max(BIT_WORDS, 1 << max(0, windows - 1).bit_length()))
+
+
+def _bit_table(grams: DataFrame, lengths: list[int], size: int) -> Column:
+    """The test's bits as a constant array; at most ``size`` numbers come to the driver."""
     g = window_hashes(grams.select("len", F.split("gram", " ").alias("w_")), "w_", lengths)
     h = F.coalesce(*[F.when(F.col("len") == n, F.get(f"h_{n}", F.lit(0))) for n in lengths])
-    bits = g.select(h.alias("h")).groupBy(_word_of(F.col("h")).alias("k")).agg(F.bit_or(_bit_of(F.col("h"))).alias("v")).collect()
-    table = [0] * BIT_WORDS
+    bits = g.select(h.alias("h")).groupBy(_word_of(F.col("h"), size).alias("k")).agg(F.bit_or(_bit_of(F.col("h"))).alias("v")).collect()
+    table = [0] * size
     for r in bits:
         table[r.k] = r.v
     return F.from_json(F.lit(str(table)), "array<bigint>")
 
 
-def _word_of(h: Column) -> Column:
-    return F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(BIT_WORDS - 1)).cast("int")
+def _word_of(h: Column, size: int) -> Column:
+    return F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(size - 1)).cast("int")
 
 
 def _bit_of(h: Column) -> Column:
@@ -99,22 +105,24 @@ def mark(df: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text
     empty benchmark leaves all clean. Repeated rows each get their row; other columns are not read.
     """
     grams = benchmark_windows(bench, item, bench_text, window).persist()
-    by_len = {r["len"]: r["n"] for r in grams.groupBy("len").agg(F.count("*").alias("n")).collect()}  # at most ``window`` rows
-    lengths = sorted(by_len) or [window]
-    table = _bit_table(grams, lengths)
+    n_bytes = F.octet_length("gram") + F.octet_length(F.array_join("items", ",")) + 16 * F.size("items")
+    by_len = grams.groupBy("len").agg(F.count("*").alias("n"), F.sum(n_bytes.cast("long")).alias("bytes")).collect()  # at most ``window`` rows
+    lengths = sorted(r["len"] for r in by_len) or [window]
+    n = sum(r["n"] for r in by_len)
+    size, fits = bit_words(n), n <= BROADCAST_GRAMS and sum(r["bytes"] for r in by_len) <= BROADCAST_BYTES
+    table = _bit_table(grams, lengths, size)
     d = tokens(df.select(F.col(key).alias("key_"), F.md5(F.col(text)).alias("fp_"), F.col(text).alias("t_")), "t_", "w_").drop("t_")
     d = window_hashes(d.withColumn("n_words", F.size("w_").cast("long")), "w_", lengths)
 
     def passing(n: int) -> Column:
-        ok = lambda h: F.get(table, _word_of(h)).bitwiseAND(_bit_of(h)) != 0
+        ok = lambda h: F.get(table, _word_of(h, size)).bitwiseAND(_bit_of(h)) != 0
         at = F.array_compact(F.transform(F.col(f"h_{n}"), lambda h, i: F.when(h.isNotNull() & ok(h), i)))
         return F.transform(at, lambda i: F.struct(i.alias("i"), F.lit(n).alias("len"), F.array_join(F.slice("w_", i + 1, n), " ").alias("gram")))
 
     d = d.select("key_", "fp_", "n_words", F.concat(*[passing(n) for n in lengths]).alias("c_"))
     d = d.select("key_", "fp_", "n_words", F.posexplode_outer("c_").alias("nth_", "c_")).select(
         "key_", "fp_", "n_words", "nth_", F.col("c_.i").alias("i"), F.col("c_.len").alias("len"), F.col("c_.gram").alias("gram"))
-    g = grams if sum(by_len.values()) > BROADCAST_GRAMS else F.broadcast(grams)
-    d = d.join(g, ["len", "gram"], "left")
+    d = d.join(F.broadcast(grams) if fits else grams, ["len", "gram"], "left")
     hit = F.col("items").isNotNull()
     d = d.groupBy("key_", "fp_", "n_words").agg(
         F.count(F.when(F.coalesce("nth_", F.lit(0)) == 0, 1)).alias("copies_"),
