@@ -12,7 +12,7 @@ from inspect import signature
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlens.session import checkpoint_dir
+from wardlens.session import WRITTEN, checkpoint_dir
 
 #: White space of the word contracts: space and U+0009..U+000D. Java's ``\s`` is the same set.
 WS = r"[\x20\x09-\x0D]+"
@@ -53,9 +53,10 @@ def scratch(spark: SparkSession, name: str) -> str:
 def store(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     """Write once to the shared folder and read back: cuts lineage and outlives a lost executor.
 
-    ``files``: at most so many, for tables known to be small.
+    ``files``: at most so many, for tables known to be small. ``session.release`` removes the table.
     """
     path = scratch(df.sparkSession, name)
+    WRITTEN.append(path)
     (df.coalesce(files) if files else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
