@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from wardlens.llm import decontam, minhash, mixing, quality_rules, sharding
 from wardlens.llm.common import read_table, store, where_computed
+from wardlens.session import WRITTEN, release
 
 #: Rules learned from labels, signatures and hash thresholds have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
@@ -48,7 +49,9 @@ STAGES = [("quality_rules", quality_stage), ("near_dedup", near_dedup_stage), ("
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    """The rows of the last stage. What else the stages wrote is removed as soon as the next one's input is written."""
+    docs, first = read_table(spark, sf_dir, "documents"), len(WRITTEN)
     for name, stage in STAGES:
         docs = store(stage(spark, docs, sf_dir), name)
+        release(spark, first, -1)
     return docs
