@@ -4,6 +4,7 @@ from collections import Counter
 
 import corpus_pipeline
 import pytest
+from wardlens import session
 from wardlens.llm import quality_rules
 
 from .test_dedup import brute_groups
@@ -74,6 +75,12 @@ def test_run_repeats_the_stages(spark, steps):
     assert key(corpus_pipeline.run(spark, SF)) == key(steps[5])
 
 
+def test_run_leaves_only_its_result(spark):
+    before = len(session.WRITTEN)
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert len(session.WRITTEN) == before + 1 and out.count() > 0 and "wardlens-shard-" in out.inputFiles()[0]
+
+
 @pytest.mark.parametrize("rows", [[], odd_rows()])
 def test_stages_on_odd_tables(spark, rows):
     docs = frame(spark, rows)
