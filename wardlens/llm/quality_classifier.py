@@ -1,8 +1,8 @@
 """Quality scores learned from preference pairs (Bradley-Terry).
 
 A good document is preferred to a bad one; the log-odds of this are the difference of their scores, and a score
-is linear in text features. The weights minimise the logistic loss of feature differences over
-sampled pairs; the cut between good and bad is a quantile of the training scores.
+is linear in text features. The weights minimise the logistic loss of feature differences over all
+pairs of a good and a bad labelled row; the cut between good and bad is a quantile of the scores of all labelled rows.
 """
 
 from __future__ import annotations
@@ -16,11 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlens.llm.common import bounded_sample, own_name
+from wardlens.llm.common import own_name, store
 
-#: Labelled rows and preference pairs used for learning, at most.
-SAMPLE_ROWS, PAIRS = 12_000, 60_000
 N_FEATURES = 14
+#: Scores of one bin meet the other class's bins at their mean; bins reach from -REACH to REACH, the outer ones are open.
+BINS, REACH = 512, 32.0
+#: Newton steps at most, and the change of the weights that ends them.
+STEPS, TOLERANCE = 12, 1e-3
+#: Bins of one pass for the quantile.
+QUANTILE_BINS = 2048
 
 _CLASS = np.zeros(256, np.int64)
 _CLASS[65:91] = 1                                    # A-Z
@@ -68,30 +72,97 @@ class Ranker:
         return 1 / (1 + np.exp(-np.clip(self.raw(x) - self.cut, -30, 30)))
 
 
-def fit(x: np.ndarray, good: np.ndarray, pairs: int = PAIRS, penalty: float = 1e-3, seed: int = 5) -> Ranker:
-    """Weights by Newton steps on the pairs' logistic loss; cut at the quantile of the bad share.
+def normal(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    return np.clip((x - mean) / scale, -8, 8)
 
-    With one class only there is no pair: all rows score as that class.
+
+def matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, N_FEATURES)
+
+
+_SUMS = 1 + N_FEATURES + N_FEATURES * N_FEATURES
+
+
+def bin_sums(rows: DataFrame, mean: np.ndarray, scale: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """(2, BINS, _SUMS): of the bad and good rows (good, x) in each score bin their number, the sum of z and that of z z'."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2 * BINS, _SUMS))
+        for b in batches:
+            z = normal(matrix(b.column("x")), mean, scale)
+            place = np.clip(np.floor((z @ w + REACH) * (BINS / (2 * REACH))), 0, BINS - 1).astype(np.int64)
+            place += BINS * b.column("good").to_numpy(zero_copy_only=False).astype(np.int64)
+            for i, v in enumerate([None, *z.T, *(z[:, j] * z[:, k] for j in range(N_FEATURES) for k in range(N_FEATURES))]):
+                total[:, i] += np.bincount(place, weights=v, minlength=2 * BINS)
+        flat = total.reshape(-1)
+        used = np.flatnonzero(flat)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(flat[used])], names=["cell", "v"])
+
+    # At most 2 * BINS * _SUMS cells, whatever the rows.
+    cells = rows.mapInArrow(run, "cell long, v double").groupBy("cell").agg(F.sum("v").alias("v")).toArrow()
+    out = np.zeros(2 * BINS * _SUMS)
+    out[cells.column("cell").to_numpy()] = cells.column("v").to_numpy()
+    return out.reshape(2, BINS, _SUMS)
+
+
+def newton_step(sums: np.ndarray, w: np.ndarray, penalty: float) -> np.ndarray:
+    """Step of the mean logistic loss over all pairs of a good and a bad row, from the sums of their bins."""
+    (nd, zd, md), (nu, zu, mu) = ((s[:, 0], s[:, 1:1 + N_FEATURES], s[:, 1 + N_FEATURES:]) for s in (c[c[:, 0] > 0] for c in sums))
+    p = 1 / (1 + np.exp(-np.clip((zu @ w / nu)[:, None] - (zd @ w / nd)[None, :], -30, 30)))
+    pairs, q, r = nu.sum() * nd.sum(), 1 - p, p * (1 - p)
+    grad = (zu.T @ (q @ nd) - zd.T @ (q.T @ nu)) / pairs - penalty * w
+    cross = zu.T @ r @ zd
+    square = (mu.T @ (r @ nd) + md.T @ (r.T @ nu)).reshape(N_FEATURES, N_FEATURES)
+    return np.linalg.solve((square - cross - cross.T) / pairs + penalty * np.eye(N_FEATURES), grad)
+
+
+def middle(rows: DataFrame, value: str, k: int) -> float:
+    """Halfway between the k-th smallest value and the next one (k from 1, and below the number of rows).
+
+    Each pass counts the values of the range that is left in bins; the bin with the place sought is the next range.
     """
-    if not len(x) or good.all() or not good.any():
-        side = -1.0 if len(x) and good.all() else 1.0
+    lo, hi = rows.agg(F.min(value), F.max(value)).first()
+    v, place, below = F.col(value), k, 0
+    while lo < hi:
+        bucket = F.least(F.floor((v - F.lit(lo)) / F.lit(hi - lo) * QUANTILE_BINS), F.lit(QUANTILE_BINS - 1))
+        bins = rows.where(v.between(lo, hi)).groupBy(bucket.alias("b")).agg(F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"))
+        for r in sorted(bins.collect()):
+            if place < below + r.n:
+                lo, hi = r.lo, r.hi
+                break
+            below += r.n
+    if below < k:  # the k-th value equals the next one
+        return lo
+    return (rows.where(v < lo).agg(F.max(v)).first()[0] + lo) / 2
+
+
+def fit(rows: DataFrame, penalty: float = 1e-3) -> Ranker:
+    """Weights by Newton steps on the logistic loss of all pairs of the rows (good, x); cut at the quantile of the bad share.
+
+    A step is one pass over the rows, which leaves sums for each class and score bin. With one class only there
+    is no pair: all rows score as that class.
+    """
+    x = [F.col("x")[i] for i in range(N_FEATURES)]
+    first = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("good").cast("long")), F.lit(0)), *[F.avg(c) for c in x], *[F.stddev_pop(c) for c in x]).first()
+    n, good = first[0], first[1]
+    if good in (0, n):
+        side = -1.0 if n and good == n else 1.0
         return Ranker(np.zeros(N_FEATURES), np.zeros(N_FEATURES), np.ones(N_FEATURES), side)
-    mean, scale = x.mean(0), x.std(0) + 1e-6
-    z, rng = (x - mean) / scale, np.random.default_rng(seed)
-    z = np.clip(z, -8, 8)
-    up, down = np.flatnonzero(good), np.flatnonzero(~good)
-    d = z[rng.choice(up, pairs)] - z[rng.choice(down, pairs)]
+    # Rounded: the order in which tasks end must not show in the scores.
+    mean, scale = np.round(first[2:2 + N_FEATURES], 12), np.round(first[2 + N_FEATURES:], 12) + 1e-6
     w = np.zeros(N_FEATURES)
-    for _ in range(12):
-        p = 1 / (1 + np.exp(-np.clip(d @ w, -30, 30)))
-        grad = d.T @ (1 - p) / pairs - penalty * w
-        hess = (d * (p * (1 - p))[:, None]).T @ d / pairs + penalty * np.eye(N_FEATURES)
-        w = w + np.linalg.solve(hess, grad)
-    raw = z @ w
+    for _ in range(STEPS):
+        step = newton_step(bin_sums(rows, mean, scale, w), w, penalty)
+        w = w + step
+        if np.abs(step).max() < TOLERANCE:
+            break
+    w = np.round(w, 6)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(normal(matrix(b.column("x")), mean, scale) @ w)], names=["raw"])
+
     # Between the two scores around the quantile, so that ties at the border stay on one side.
-    k = int((~good).sum())
-    order = np.sort(raw)
-    return Ranker(w, mean, scale, float((order[k - 1] + order[k]) / 2))
+    return Ranker(w, mean, scale, middle(rows.mapInArrow(run, "raw double"), "raw", n - good))
 
 
 def _features(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
@@ -107,13 +178,14 @@ def _features(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return src.mapInArrow(run, schema)
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Ranker:
-    """Fits on at most ``sample_rows`` labelled rows (smallest hash of the key); null labels and keys are left out."""
-    want = bounded_sample(labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(
-        F.col(key).alias("k_"), (F.col(label) == 1).alias("good")), "k_", sample_rows)
-    d = docs.select(F.col(key).alias("k_"), F.col(text).alias("t_")).join(F.broadcast(want), "k_")  # bounded by sample_rows
-    rows = _features(d, "t_", ["k_", "good"]).orderBy("k_", "good", "x").limit(2 * sample_rows).collect()
-    return fit(np.array([r.x for r in rows]).reshape(-1, N_FEATURES), np.array([r.good for r in rows], bool))
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> Ranker:
+    """Fits on every labelled row; null labels and keys are left out.
+
+    The features, not the texts, meet the labels, and are written once for the passes of the fit.
+    """
+    want = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k_"), (F.col(label) == 1).alias("good"))
+    d = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("k_"), F.col(text).alias("t_"))
+    return fit(store(_features(d, "t_", ["k_"]).join(want, "k_").select("good", "x"), "preferences"))
 
 
 def score(df: DataFrame, ranker: Ranker, text: str = "text") -> DataFrame:
